@@ -5,12 +5,14 @@ from __future__ import annotations
 from graphloom.llm.chat_format import OP10_SQL, op10_chat_format
 from graphloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from graphloom.llm.packing import op6_best_fit_packing
+from graphloom.llm.quality import op8_quality
 from graphloom.llm.simhash import op7_simhash
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op10_chat_format": op10_chat_format,
 }
 
