@@ -7,9 +7,11 @@ from graphloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from graphloom.llm.packing import op6_best_fit_packing
 from graphloom.llm.quality import op8_quality
 from graphloom.llm.simhash import op7_simhash
+from graphloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
