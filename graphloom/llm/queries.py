@@ -6,10 +6,12 @@ from graphloom.llm.chat_format import OP10_SQL, op10_chat_format
 from graphloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from graphloom.llm.packing import op6_best_fit_packing
 from graphloom.llm.quality import op8_quality
+from graphloom.llm.sentencepiece_codec import op1_sentencepiece
 from graphloom.llm.simhash import op7_simhash
 from graphloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
