@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphloom.llm.cap_filters import op3_embedding_near_dedup
 from graphloom.llm.chat_format import OP10_SQL, op10_chat_format
+from graphloom.llm.graph_search import op9_nearest_neighbours
 from graphloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from graphloom.llm.packing import op6_best_fit_packing
 from graphloom.llm.pii import op5_pii
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_chat_format": op10_chat_format,
 }
 
