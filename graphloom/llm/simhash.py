@@ -4,7 +4,7 @@ Two fingerprints that differ in at most 4 of 64 bits, cut into 8 bytes on a
 ring, have a byte from which every run of l bytes differs in at most l * 4/8
 bits (the pigeonring principle). Hence from some byte the runs of 1 to 5 bytes
 differ in at most 0, 1, 1, 2, 2 bits: three of these five bytes are equal, in
-one of four patterns, which gives 8 * 4 join keys of 24 bits. A candidate then
+one of five patterns, which gives 8 * 5 join keys of 24 bits. A candidate then
 has to keep the budget along the whole chain; its last link is the full check.
 
 Equal fingerprints are one row from the start. Fingerprints within one bit of
@@ -79,8 +79,8 @@ def _chains(fps: DataFrame) -> DataFrame:
     rows = []
     for start in range(8):
         x = _turned(F.col("fp"), start)
-        for p, (second, third) in enumerate(((1, 3), (1, 4), (2, 3), (2, 4))):
-            key = _byte(x, 0, 0).bitwiseOR(_byte(x, second, 1)).bitwiseOR(_byte(x, third, 2)).bitwiseOR(F.lit((start * 4 + p) << 24).cast("long"))
+        for p, (second, third) in enumerate(((1, 2), (1, 3), (1, 4), (2, 3), (2, 4))):
+            key = _byte(x, 0, 0).bitwiseOR(_byte(x, second, 1)).bitwiseOR(_byte(x, third, 2)).bitwiseOR(F.lit((start * 5 + p) << 24).cast("long"))
             rows.append(F.struct(key.alias("key"), x.alias("x")))
     return fps.select("g", F.inline(F.array(*rows)))
 
