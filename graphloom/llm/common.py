@@ -7,10 +7,11 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _OWN: dict[str, str] = {}
 
@@ -75,3 +76,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def map_last(df: DataFrame, column: str, run: Callable, added: str) -> DataFrame:
+    """``df`` through ``run`` (Arrow batches, ``column`` last), with the ``added`` columns in its place.
+
+    The other columns pass through under names of place, as any name is allowed; an
+    added column takes the place of one of the same name.
+    """
+    new = StructType.fromDDL(added)
+    rest = [c for c in df.columns if c != column and c.lower() not in {n.lower() for n in new.names}]
+    kept = df.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(rest)), quoted(column).alias("body"))
+    schema = StructType([StructField(f.name, f.dataType) for f in kept.schema.fields[:-1]] + new.fields)
+    return kept.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(rest)), *new.names)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents, quoted
+from graphloom.llm.common import documents, map_last, quoted
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -422,7 +422,6 @@ class Codec:
 
 def with_ids(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", same: str | None = None) -> DataFrame:
     """``docs`` with the column ``ids`` in place of the text; ``same``: whether decoding gives the text back."""
-    rest = [c for c in docs.columns if c != text]
     sent = docs.sparkSession.sparkContext.broadcast(codec)  # a vocabulary, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,14 +439,11 @@ def with_ids(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids"
                     columns.append(pc.equal(sent.value.decode(found, ends), plain))
                 yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], ids, *([same] if same else [])])
 
-    kept = docs.select(*(quoted(c) for c in rest), quoted(text))
-    fields = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}`{ids}` array<int>" + (f", `{same}` boolean" if same else ""))
+    return map_last(docs, text, run, f"{ids} array<int>" + (f", {same} boolean" if same else ""))
 
 
 def with_texts(rows: DataFrame, codec: Codec, ids: str = "ids", text: str = "text") -> DataFrame:
     """``rows`` with the decoded ``text`` in place of the ids; null ids give an empty text."""
-    rest = [c for c in rows.columns if c != ids]
     sent = rows.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,9 +453,7 @@ def with_texts(rows: DataFrame, codec: Codec, ids: str = "ids", text: str = "tex
             texts = sent.value.decode(pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64), ends)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts.cast(pa.string())], names=[*b.schema.names[:-1], text])
 
-    kept = rows.select(*(quoted(c) for c in rest), quoted(ids).cast("array<int>"))
-    fields = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}`{text}` string")
+    return map_last(rows.withColumn(ids, quoted(ids).cast("array<int>")), ids, run, f"{text} string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL_PATH) -> DataFrame:

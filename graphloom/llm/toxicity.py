@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents, quoted, table
+from graphloom.llm.common import documents, map_last, table
 from graphloom.llm.labelled import held_out, learning_rows
 
 #: Bound of the labelled sample that the model is fitted on.
@@ -334,7 +334,6 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 def with_scores(docs: DataFrame, model: dict | None, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the column ``name`` in place of the text."""
-    rest = [c for c in docs.columns if c != text]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed number of buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,9 +344,7 @@ def with_scores(docs: DataFrame, model: dict | None, text: str = "text", name: s
             parts = [scores(sent.value, texts.slice(i, j - i)) for i, j in zip([0, *cut], [*cut, len(texts)], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(parts))], names=[*b.schema.names[:-1], name])
 
-    kept = docs.select(*(quoted(c) for c in rest), quoted(text))
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}, `{name}` double")
+    return map_last(docs, text, run, f"{name} double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
