@@ -25,7 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back: cuts the lineage of a loop and survives lost executors."""
+    """Write ``df`` and read it back.
+
+    Cuts the lineage without tying the data to one executor, fixes the rows for
+    every later use, and forgets the partitioning, so that a later join deals
+    both of its sides anew and adaptive execution can split a hot key.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
