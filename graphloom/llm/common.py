@@ -2,49 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-_OWN: dict[str, str] = {}
+from graphloom.storage import shared_dir, staged
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where that setting is absent (a local session, as in tests) is a
-    folder of this process taken instead.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
-    return "file://" + os.path.abspath(_OWN["dir"])
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage without tying the data to one executor, fixes the rows for
-    every later use, and forgets the partitioning, so that a later join deals
-    both of its sides anew and adaptive execution can split a hot key.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "map_last", "quoted", "same", "shared_dir", "staged", "table", "unused"]
 
 
 def unused(columns: Iterable[str], *wanted: str) -> list[str]:
