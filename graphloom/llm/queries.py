@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm.cap_filters import op3_embedding_near_dedup
+from graphloom.llm.cap_filters import OP3_SQL, op3_embedding_near_dedup
 from graphloom.llm.chat_format import OP10_SQL, op10_chat_format
 from graphloom.llm.graph_search import op9_nearest_neighbours
 from graphloom.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -28,5 +28,6 @@ QUERIES = {
 
 SQL = {
     "op2_line_dedup": OP2_SQL,
+    "op3_embedding_near_dedup": OP3_SQL,
     "op10_chat_format": OP10_SQL,
 }
