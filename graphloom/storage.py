@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,3 +38,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if it only scans, filters and projects; else written out, so that a loop does not derive it each round."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return staged(df, name) if re.search(r"\b(Join|Aggregate|Window|Generate|Sort|Distinct)\b", plan) else df
