@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.storage import staged
@@ -58,3 +58,10 @@ def shortest_costs(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
             break
         best = staged(best.unionByName(new).groupBy("source", "vid").agg(F.min("cost").alias("cost")), "cost")
     return best if targets is None else best.join(targets.select("vid").distinct(), "vid", "left_semi")
+
+
+def project(edges: DataFrame, weight: Column | None = None, direction: str = "out") -> DataFrame:
+    """src, dst, weight (1 without an expression) of a projected graph; ``direction``: out, in or both."""
+    out = edges.select("src", "dst", (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"))
+    back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]

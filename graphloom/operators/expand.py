@@ -50,3 +50,17 @@ def degree_statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     out = degrees(vertices, edges, "src").agg(F.count("*").alias("vertices"), F.sum("degree").alias("edges"), F.max("degree").alias("max_out"), F.avg("degree").alias("avg_out"))
     into = edges.groupBy("dst").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_in"))
     return out.join(F.broadcast(into)).select("vertices", "edges", "max_out", "max_in", "avg_out")  # one row each
+
+
+def first_neighbours(edges: DataFrame, vid: int, n: int, after: int | None = None) -> DataFrame:
+    """The first ``n`` distinct out-neighbours of a vertex by id, from beyond ``after`` on: a list read in parts."""
+    near = edges.where(F.col("src") == vid).select(F.col("dst").alias("nbr")).distinct()
+    return (near if after is None else near.where(F.col("nbr") > after)).orderBy("nbr").limit(n)
+
+
+def single_neighbour(frontier: DataFrame, edges: DataFrame, vid: str = "vid", to: str = "nbr") -> DataFrame:
+    """Every row with its one out-neighbour; an error where a vertex has none or several."""
+    n = edges.groupBy(F.col("src").alias(vid)).agg(F.count("*").alias("__n"), F.min("dst").alias(to))
+    found = frontier.join(n, vid, "left")
+    checked = F.when(F.col("__n") == 1, F.col(to)).otherwise(F.raise_error(F.concat(F.lit("not exactly one neighbour: "), F.col(vid).cast("string"))).cast("long"))
+    return found.withColumn(to, checked).drop("__n")

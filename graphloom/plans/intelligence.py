@@ -89,11 +89,23 @@ def weighted_knows(g: PropertyGraph) -> DataFrame:
     return interaction_weights(g.edge("knows"), replies_between(g))
 
 
-def bi19(g: PropertyGraph, city1: int, city2: int) -> DataFrame:
-    """Cheapest path weights between the persons of two cities; pairs without a path are left out."""
+def saved_weights(g: PropertyGraph, path: str) -> DataFrame:
+    """The projected graph from ``path``, projected and written there the first time."""
+    spark = g.edge("knows").sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        weighted_knows(g).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def bi19(g: PropertyGraph, city1: int, city2: int, weights: DataFrame | None = None) -> DataFrame:
+    """Cheapest path weights between the persons of two cities; pairs without a path are left out.
+
+    ``weights``: the projected graph, if it is at hand (``saved_weights``).
+    """
     at = g.edge("isLocatedIn")
     one, two = (at.where(F.col("dst") == c).select(F.col("src").alias("vid")) for c in (city1, city2))
     swap = one.count() > two.count()  # fewer sources, fewer rows in the loop; knows goes both ways
-    found = shortest_costs(weighted_knows(g), *((two, one) if swap else (one, two)))
+    found = shortest_costs(weighted_knows(g) if weights is None else weights, *((two, one) if swap else (one, two)))
     a, b = ("vid", "source") if swap else ("source", "vid")
     return found.select(F.col(a).alias("person1"), F.col(b).alias("person2"), F.col("cost").alias("weight")).orderBy("weight", "person1", "person2")

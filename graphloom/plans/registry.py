@@ -184,6 +184,22 @@ def not_friends_antijoin(g: PropertyGraph) -> DataFrame:
     return g.vertices["person"].select(F.col("id").alias("vid")).join(near, "vid", "left_anti")
 
 
+@graph_query("SELECT DISTINCT dst AS nbr FROM hasTag WHERE src = 3 ORDER BY dst LIMIT 3")
+def first_neighbours(g: PropertyGraph) -> DataFrame:
+    return expand.first_neighbours(g.edge("hasTag"), 3, 3)
+
+
+@graph_query("SELECT id AS vid, creator AS nbr FROM message WHERE id < 500")
+def single_neighbour(g: PropertyGraph) -> DataFrame:
+    return expand.single_neighbour(g.vertices["message"].where("id < 500").select(F.col("id").alias("vid")), g.edge("hasCreator"))
+
+
+@graph_query("SELECT src, dst, 1.0::DOUBLE / length AS weight FROM (SELECT id AS src, creator AS dst, length FROM message UNION ALL SELECT creator, id, length FROM message)")
+def project_both(g: PropertyGraph) -> DataFrame:
+    m = g.vertices["message"].select(F.col("id").alias("src"), F.col("creator").alias("dst"), "length")
+    return algorithms.project(m, 1 / F.col("length"), "both")
+
+
 @graph_query("SELECT least(a.creator, b.creator) AS low, greatest(a.creator, b.creator) AS high, count(*) AS n FROM replyOf r JOIN message a ON a.id = r.src JOIN message b ON b.id = r.dst GROUP BY ALL")
 def pairwise_interactions(g: PropertyGraph) -> DataFrame:
     r = intelligence.replies_between(g)

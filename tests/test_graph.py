@@ -202,3 +202,23 @@ def test_text(spark):
     assert dict(rows(text.extract(t, "k", "s", 1, 2))) == {1: "aa", 2: ".b", 3: None, 4: None, 5: "𝒳a"}
     assert rows(text.rows_containing(t, "k", "s", "a", 2, 9)) == [(5,)]
     assert rows(text.statistics(t, "s")) == [(5, 11, 15, 5)]
+
+
+def test_lists_in_parts(g):
+    k = g.edge("knows")
+    assert rows(expand.first_neighbours(k, 3, 2)) == [(0,), (2,)]
+    assert rows(expand.first_neighbours(k, 3, 2, after=2)) == [(4,)]
+    m = g.vertices["message"].select(F.col("id").alias("vid"))
+    assert dict(rows(expand.single_neighbour(m, g.edge("hasCreator"))))[5] == 0
+    with pytest.raises(Exception, match="not exactly one neighbour"):
+        expand.single_neighbour(m, g.edge("hasTag")).collect()
+
+
+def test_projection(g, tmp_path):
+    one = g.edge("replyOf").where("src = 1")
+    assert rows(algorithms.project(one)) == [(1, 0, 1.0)] and rows(algorithms.project(one, F.col("src") * 2, "in")) == [(0, 1, 2.0)]
+    assert algorithms.project(one, direction="both").count() == 2
+    path = str(tmp_path / "weights")
+    first = sorted(rows(intelligence.saved_weights(g, path)))
+    assert first == sorted(rows(intelligence.saved_weights(g, path))) == sorted(rows(intelligence.weighted_knows(g)))
+    assert rows(intelligence.bi19(g, 0, 1, intelligence.saved_weights(g, path))) == rows(intelligence.bi19(g, 0, 1))
