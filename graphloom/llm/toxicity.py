@@ -20,6 +20,7 @@ Defined results
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -327,9 +328,16 @@ def scores(model: dict | None, texts: pa.Array) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LEARN_ROWS) -> dict | None:
-    got = learning_rows(docs, labels, label, rows).toArrow().combine_chunks()
-    texts = got.column("text")
-    return fit(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, got.column("y").to_numpy())
+    """Fits in one task on an executor, as the sample is bounded; the driver only gets the model, of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        texts = pa.concat_arrays([b.column("text").cast(pa.large_string()) for b in got]) if got else pa.array([], pa.large_string())
+        y = np.concatenate([b.column("y").to_numpy() for b in got]) if got else np.zeros(0, dtype=int)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, y))], pa.binary())], names=["model"])
+
+    found = learning_rows(docs, labels, label, rows).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def with_scores(docs: DataFrame, model: dict | None, text: str = "text", name: str = "score") -> DataFrame:
