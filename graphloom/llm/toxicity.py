@@ -35,7 +35,7 @@ from graphloom.llm.labelled import held_out, learning_rows
 #: Bound of the labelled sample that the model is fitted on.
 LEARN_ROWS = 8_000
 WINDOW, STRIDE = 96, 64
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 4, 256, 0.02, 11
+HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 8, 4, 200, 256, 0.02, 11
 #: Of a document, windows that the network is trained on; all are scored.
 TRAIN_WINDOWS = 6
 BITS, PRIOR = 17, 10.0
@@ -238,8 +238,10 @@ def _grads(net: dict, x: np.ndarray, codes: np.ndarray, start: np.ndarray, n: np
 def _train(x: np.ndarray, codes: np.ndarray, start: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     rng = np.random.default_rng(SEED)
     net = new_network(rng)
-    m, v, step, total = {k: 0.0 for k in net}, {k: 0.0 for k in net}, 0, EPOCHS * -(-len(n) // BATCH)
-    for _ in range(EPOCHS):
+    m, v, step = {k: 0.0 for k in net}, {k: 0.0 for k in net}, 0
+    rounds = max(EPOCHS, -(-LEAST_STEPS // -(-len(n) // BATCH)))  # small samples need more passes to converge
+    total = rounds * -(-len(n) // BATCH)
+    for _ in range(rounds):
         order = rng.permutation(len(n))
         for at in range(0, len(n), BATCH):
             w = order[at : at + BATCH]
