@@ -319,6 +319,16 @@ def bfs_all_labels(g: PropertyGraph) -> DataFrame:
     return traverse.bfs_levels(start, e, 3).select("vid.label", "vid.id", "depth")
 
 
+@graph_query()
+def bfs_whole_graph(g: PropertyGraph) -> DataFrame:
+    """Depth of every vertex of every label from a person, -1 where unreached; a brute-force test checks it."""
+    key = lambda a, b: F.struct(F.col(a).alias("label"), F.col(b).alias("id"))
+    e = g.all_edges().select(key("src_label", "src").alias("src"), key("dst_label", "dst").alias("dst"))
+    v = g.all_vertices().select(key("label", "id").alias("vid"))
+    levels = traverse.bfs_levels(v.where((F.col("vid.label") == "person") & (F.col("vid.id") == START)), e)
+    return v.join(levels, "vid", "left").select("vid.label", "vid.id", F.coalesce("depth", F.lit(-1)).alias("depth"))
+
+
 @graph_query(f"{levels_sql(ONE, depth=2)} SELECT id AS vid, d AS depth FROM lv2 WHERE d BETWEEN 1 AND 2")
 def friends_1_2(g: PropertyGraph) -> DataFrame:
     return traverse.friends(g.edge("knows"), START, 1, 2)
