@@ -412,6 +412,15 @@ def page_rank(g: PropertyGraph) -> DataFrame:
 SQL["serial_page_rank"] = SQL["page_rank"]
 QUERIES["serial_page_rank"] = QUERIES["page_rank"]
 
+
+@graph_query()
+def page_rank_all_labels(g: PropertyGraph) -> DataFrame:
+    """Ranks of every vertex of every label over all edges; a brute-force test checks it."""
+    return algorithms.page_rank_all_labels(g, 5).select("label", "id", F.round("rank", 9).alias("rank"))
+
+
+QUERIES["serial_page_rank_all_labels"] = QUERIES["page_rank_all_labels"]
+
 _WEIGHTS = (
     ", rep AS MATERIALIZED (SELECT least(a.creator, b.creator) AS low, greatest(a.creator, b.creator) AS high, count(*) AS n FROM replyOf r JOIN message a ON a.id = r.src JOIN message b ON b.id = r.dst WHERE a.creator <> b.creator GROUP BY ALL)"
     ", weights AS MATERIALIZED (SELECT src, dst, greatest(round(40 - sqrt(coalesce(n, 0))), 1.0)::DOUBLE AS weight FROM knows LEFT JOIN rep ON low = least(src, dst) AND high = greatest(src, dst))"

@@ -18,7 +18,7 @@ def _bfs(g: PropertyGraph, person: int) -> DataFrame:
 
 
 def _page_rank(g: PropertyGraph, iterations: int, damping: float) -> DataFrame:
-    return algorithms.page_rank(g.vertices["person"], g.edge("knows"), iterations, damping)
+    return algorithms.page_rank_all_labels(g, iterations, damping)
 
 
 NAMED: dict[str, Callable[..., DataFrame]] = {

@@ -35,3 +35,31 @@ def test_bfs_to_the_end(spark, whole):
     got = [tuple(r) for r in QUERIES["bfs_whole_graph"](spark, DATA).collect()]
     assert max(depth.values()) > 3  # beyond bfs_all_labels
     assert sorted(got) == sorted((*v, depth.get(v, -1)) for v in vertices)
+
+
+def brute_ranks(vertices, out, rounds, damping=0.85):
+    n = len(vertices)
+    rank = dict.fromkeys(vertices, 1 / n)
+    for _ in range(rounds):
+        base = (1 - damping + damping * sum(rank[v] for v in vertices if v not in out)) / n
+        got = dict.fromkeys(vertices, base)
+        for v, near in out.items():
+            for w in near:
+                if v in rank and w in got:
+                    got[w] += damping * rank[v] / len(near)
+        rank = got
+    return rank
+
+
+def test_page_rank_of_every_label(spark, whole):
+    want = brute_ranks(*whole, 5)
+    got = {(r.label, r.id): r.rank for r in QUERIES["page_rank_all_labels"](spark, DATA).collect()}
+    assert got == pytest.approx(want, abs=2e-9) and len({k for k, _ in got}) == 8
+
+
+def test_runner_ranks_every_label(spark, whole):
+    from graphloom.plans.runner import NAMED
+
+    want = brute_ranks(*whole, 2, 0.5)
+    got = {(r.label, r.id): r.rank for r in NAMED["page_rank"](social_graph(spark, DATA), 2, 0.5).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
