@@ -139,16 +139,32 @@ def expand_out_typed(g: PropertyGraph) -> DataFrame:
     return expand.out_neighbours(mine, g.edge("hasTag"), "m").select(F.col("creator").alias("vid"), "nbr")
 
 
+@graph_query("SELECT m.creator AS vid, t.dst AS nbr FROM message m JOIN hasTag t ON t.src = m.id")
+def expand_out_typed_all(g: PropertyGraph) -> DataFrame:
+    mine = g.vertices["message"].select(F.col("id").alias("m"), "creator")
+    return expand.out_neighbours(mine, g.edge("hasTag"), "m").select(F.col("creator").alias("vid"), "nbr")
+
+
 @graph_query("SELECT creator AS vid, id AS nbr FROM message WHERE creator < 20")
 def expand_in_typed(g: PropertyGraph) -> DataFrame:
     return expand.in_neighbours(g.vertices["person"].where("id < 20").select(F.col("id").alias("vid")), g.edge("hasCreator"))
 
 
+@graph_query("SELECT p.id AS vid, m.id AS nbr FROM person p JOIN message m ON m.creator = p.id")
+def expand_in_typed_all(g: PropertyGraph) -> DataFrame:
+    return expand.in_neighbours(g.vertices["person"].select(F.col("id").alias("vid")), g.edge("hasCreator"))
+
+
 @graph_query("SELECT src AS vid, dst AS nbr FROM knows WHERE src < 50 UNION SELECT dst, src FROM knows WHERE dst < 50")
 def union_neighbors(g: PropertyGraph) -> DataFrame:
     return expand.both_neighbours(g.vertices["person"].where("id < 50").select(F.col("id").alias("vid")), g.edge("knows"))
 
 
+@graph_query("SELECT src AS vid, dst AS nbr FROM knows UNION SELECT dst, src FROM knows")
+def union_neighbors_all(g: PropertyGraph) -> DataFrame:
+    return expand.both_neighbours(g.vertices["person"].select(F.col("id").alias("vid")), g.edge("knows"))
+
+
 @graph_query("SELECT src AS vid, dst AS nbr, 'studyAt' AS type FROM studyAt UNION ALL SELECT src, dst, 'workAt' FROM workAt")
 def edge_type_filter(g: PropertyGraph) -> DataFrame:
     persons = g.vertices["person"].select(F.col("id").alias("vid"))
@@ -172,6 +188,12 @@ def edges_between(g: PropertyGraph) -> DataFrame:
     return expand.edges_between(g.edge("knows"), back).select("src", "dst")
 
 
+@graph_query("SELECT k.src, k.dst FROM knows k WHERE (k.src, k.dst) IN (SELECT dst, src FROM knows)")
+def edges_between_all(g: PropertyGraph) -> DataFrame:
+    back = g.edge("knows").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return expand.edges_between(g.edge("knows"), back).select("src", "dst")
+
+
 @graph_query("SELECT DISTINCT m.id FROM message m JOIN hasTag t ON t.src = m.id JOIN hasInterest i ON i.dst = t.dst AND i.src = 1")
 def semi_join_exists(g: PropertyGraph) -> DataFrame:
     liked = g.edge("hasTag").join(g.edge("hasInterest").where("src = 1").select("dst"), "dst", "left_semi")
@@ -194,6 +216,11 @@ def single_neighbour(g: PropertyGraph) -> DataFrame:
     return expand.single_neighbour(g.vertices["message"].where("id < 500").select(F.col("id").alias("vid")), g.edge("hasCreator"))
 
 
+@graph_query("SELECT id AS vid, creator AS nbr FROM message")
+def single_neighbour_all(g: PropertyGraph) -> DataFrame:
+    return expand.single_neighbour(g.vertices["message"].select(F.col("id").alias("vid")), g.edge("hasCreator"))
+
+
 @graph_query("SELECT src, dst, 1.0::DOUBLE / length AS weight FROM (SELECT id AS src, creator AS dst, length FROM message UNION ALL SELECT creator, id, length FROM message)")
 def project_both(g: PropertyGraph) -> DataFrame:
     m = g.vertices["message"].select(F.col("id").alias("src"), F.col("creator").alias("dst"), "length")

@@ -63,3 +63,15 @@ def test_runner_ranks_every_label(spark, whole):
     want = brute_ranks(*whole, 2, 0.5)
     got = {(r.label, r.id): r.rank for r in NAMED["page_rank"](social_graph(spark, DATA), 2, 0.5).collect()}
     assert got == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["expand_out_typed", "expand_in_typed", "union_neighbors", "edges_between", "single_neighbour"])
+def test_expansion_from_every_vertex(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got = QUERIES[f"{name}_all"](spark, DATA)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL[f'{name}_all']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert len(want) > QUERIES[name](spark, DATA).count()  # beyond the id prefix
