@@ -245,8 +245,8 @@ KINDS = (*BASE_KINDS, "secret", "id")
 def with_spans(docs: DataFrame, text: str, base: str, spans: str) -> DataFrame:
     """``docs`` with two arrays of (start, kind, end), sorted: the base spans, and all spans.
 
-    ``kind`` is a place in ``KINDS``. A judged candidate that overlaps a base span,
-    or an earlier or longer candidate, is left out.
+    ``kind`` is a place in ``KINDS``. A judged candidate that overlaps a kept longer,
+    or as long and earlier, candidate is left out; one that overlaps a base span stays beside it.
     """
     (own, more) = unused(docs.columns, "own", "more")
     body = F.coalesce(quoted(text), F.lit(""))
@@ -258,10 +258,9 @@ def with_spans(docs: DataFrame, text: str, base: str, spans: str) -> DataFrame:
     judged = F.concat(*(F.when(asks.get(k, digit), _places(_judged(body, k, p), KINDS.index(k))).otherwise(none) for k, p in GENERATORS))
     out = docs.withColumn(own, own_spans).withColumn(more, F.array_sort(judged))
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter(F.col(more), lambda c: ~F.exists(F.col(own), lambda b: meets(c, b)))
     better = lambda a, b: ((a["end"] - a["start"]) > (b["end"] - b["start"])) | (((a["end"] - a["start"]) == (b["end"] - b["start"])) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"]))))
-    alone = F.filter(F.col(more), lambda c: ~F.exists(F.col(more), lambda b: meets(c, b) & better(b, c)))
-    out = out.withColumn(more, F.when(F.size(more) == 0, none).otherwise(free))
+    best = F.array_sort(F.col(more), lambda a, b: F.when(better(a, b), -1).when(better(b, a), 1).otherwise(0))
+    alone = F.aggregate(best, none, lambda kept, c: F.when(F.exists(kept, lambda b: meets(c, b)), kept).otherwise(F.concat(kept, F.array(c))))
     out = out.withColumn(more, F.when(F.size(more) == 0, none).otherwise(alone))
     return out.withColumn(base, F.col(own)).withColumn(spans, F.array_sort(F.concat(F.col(own), F.col(more)))).drop(own, more)
 

@@ -83,3 +83,14 @@ def test_redact(spark):
     assert got[1] == ("𝒳 mail <EMAIL>, ip <IP>!", "en") and got[2] == (None, "de") and got[3] == ("", "fr")
     assert got[4][0] == "<CARD> clean" or got[4][0] == "+<CARD> clean"
     assert pii.redact(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_only_kept_spans_displace_others(spark, monkeypatch):
+    # by length c > b > a; a meets b, b meets c, a and c are apart; a fourth holds a base span
+    monkeypatch.setattr(pii, "GENERATORS", (("secret", "a+b+"), ("id", "b+c+"), ("phone", "c+d+"), ("secret", "k[0-9.]+k")))
+    monkeypatch.setattr(pii, "_judged", lambda text, kind, pattern: pii._matches(text, pattern))
+    text = "aaabbccccdddddd 1 k1.2.3.4k " + "x" * 20
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in pii.with_spans(df, "text", "base", "spans").first().spans}
+    assert got == {("secret", 0, 5), ("phone", 5, 15), ("ip", 19, 26), ("secret", 18, 27)}
+    assert pii.redact(df).first().text == "<SECRET><PHONE> 1 <SECRET> " + "x" * 20
