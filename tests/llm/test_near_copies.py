@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
+from graphloom.llm import near_copies
 from graphloom.llm.near_copies import near_copy_dedup
 from graphloom.llm.simhash import fingerprint
 
@@ -67,6 +70,25 @@ def test_dense_group_and_chain(spark):
     assert {r.doc_id for r in near_copy_dedup(df).collect()} == brute(rows)
 
 
+def test_group_that_lies_just_apart(spark, monkeypatch):
+    """A key of many texts of which few pairs are similar, over several blocks."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [" ".join(edited(rng, base, rng.randint(1, 4))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = brute(rows)
+    assert 10 < len(want) < 110 and {r.doc_id for r in near_copy_dedup(df).collect()} == want
+
+
+def test_shared_shingles(monkeypatch):
+    monkeypatch.setattr(near_copies, "_COLUMNS", 3)
+    rng = random.Random(5)
+    sets = [np.unique([rng.randrange(40) for _ in range(rng.randint(1, 30))]) for _ in range(20)]
+    got = near_copies.shared_shingles(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert (got - np.diag(np.diag(got)) == [[len(set(a) & set(b)) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]).all()
+
+
 def test_odd_input(spark):
     rows = [(5, "a b c d e f", 1), (3, "A B C D E F", 2), (None, "a b c d e f", 3), (7, None, 4), (8, "  ", 5), (9, "other words here now", 6), (9, "other words here now", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, sig int")

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graphloom.llm.common import shared_dir, staged, unused
 from graphloom.llm.pii import KINDS, with_spans
-from graphloom.llm.simhash import fingerprint
 
 from .test_line_dedup import brute as brute_lines
+from .test_near_copies import brute as brute_copies
 from .test_packing import check
-from .test_simhash import brute as brute_groups
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,9 +31,8 @@ def test_stages_against_brute_force(spark):
     lines = {r.doc_id: r for r in seen[2].collect()}
     assert {i: r.text for i, r in lines.items()} == brute_lines(sorted(good.items())) and all(r.n_chars == len(r.text) for r in lines.values())
     ids = sorted(lines)
-    group = brute_groups([fingerprint(lines[i].text) for i in ids])
     single = {r.doc_id: r.text for r in seen[3].collect()}
-    assert set(single) == {ids[g] for g in group}
+    assert set(single) == {ids[k] for k in brute_copies([lines[i].text for i in ids])}
     spans = {r.doc_id: r for r in with_spans(seen[3], "text", "base", "all").collect()}
     clean = {r.doc_id: r.text for r in seen[4].collect()}
     for i, r in spans.items():
