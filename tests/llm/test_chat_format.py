@@ -31,6 +31,22 @@ def test_trees(spark):
     assert c.format_paths(df.limit(0), "tree", "node", "parent", "role", "text").collect() == []
 
 
+def test_cycles_and_odd_ids(spark):
+    rows = [  # tree, node, parent, text
+        ("self", 1, 1, "a"), ("self", 2, 1, "b"),
+        ("ring", 1, 3, "r1"), ("ring", 2, 1, "r2"), ("ring", 3, 2, "r3"), ("ring", 4, 3, "r4"), ("ring", 5, 9, "alone"),
+        ("null", None, 1, "child"), ("null", 1, None, "top"), ("twice", 1, None, "x"), ("twice", 1, None, "w"), ("twice", 2, 1, "y"),
+    ]
+    df = spark.createDataFrame([(*r[:3], "user", r[3]) for r in rows], "tree string, node long, parent long, role string, text string")
+    got = {}
+    for r in c.format_paths(df, "tree", "node", "parent", "role", "text", branches=9).select("tree", "rank", c.parse(F.col("formatted")).alias("turns")).collect():
+        got.setdefault(r.tree, set()).add(tuple(t.text for t in r.turns))
+    # The ring is cut at its least id, 1, which becomes a root.
+    assert got == {"self": {("a", "b")}, "ring": {("r1", "r2", "r3", "r4"), ("alone",)}, "null": {("top", "child")}, "twice": {("w", "y")}}
+    members = c.reply_paths(df.where("tree = 'ring'"), "tree", "node", "parent", branches=9).select("leaf", "node", "depth_from_leaf").collect()
+    assert sorted(map(tuple, members)) == [(4, 1, 3), (4, 2, 2), (4, 3, 1), (4, 4, 0), (5, 5, 0)]
+
+
 def test_long_thread(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(300)] + [(2, 5, "user", "only"), (2, 5, "user", "only")]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -38,6 +54,13 @@ def test_long_thread(spark):
     assert [t.text for t in out[1]] == [f"t{i}" for i in range(300)] and len(out[2]) == 2  # repeated rows are turns each
 
 
+def test_long_text(spark):
+    long = "word <| " * 200_000
+    df = spark.createDataFrame([(1, 1, None, "assistant", long)], "tree long, node long, parent long, role string, text string")
+    r = c.format_paths(df, "tree", "node", "parent", "role", "text").select(c.under_mask(F.col("formatted"), F.col("loss")).alias("said")).first()
+    assert r.said == long
+
+
 def test_query_against_sql(spark, tmp_path):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "<|im_end|>"), (2, 0, "user", None), (2, 0, "assistant", "é𝒳"), (3, 0, "system", "\\<\\|")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
