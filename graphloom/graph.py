@@ -58,20 +58,32 @@ class PropertyGraph:
     # Edges.
 
     def kinds(self, src: str | None = None, type: str | None = None, dst: str | None = None) -> list[EdgeKind]:  # noqa: A002
-        return [k for k in self.edges if src in (None, k.src) and type in (None, k.type) and dst in (None, k.dst)]
+        """Kinds of these labels and this type; case is ignored."""
+        want = [w if w is None else w.lower() for w in (src, type, dst)]
+        return [k for k in self.edges if all(w in (None, x.lower()) for w, x in zip(want, k, strict=True))]
 
     def edge(self, type: str, src: str | None = None, dst: str | None = None) -> DataFrame:  # noqa: A002
-        """The one edge table of this type (and labels)."""
-        (kind,) = self.kinds(src, type, dst)
-        return self.edges[kind]
+        """The one edge table of this type (and labels); where labels differ, ids alone do not tell vertices apart."""
+        kinds = self.kinds(src, type, dst)
+        if len(kinds) != 1:
+            raise LookupError(f"{len(kinds)} edge tables of type {type!r} from {src or 'any'} to {dst or 'any'}: {kinds}")
+        return self.edges[kinds[0]]
 
-    def all_edges(self) -> DataFrame:
-        """src_label, src, type, dst_label, dst, info (type and properties, joined by ``|``) of every edge."""
+    def edges_of(self, *kinds: EdgeKind) -> DataFrame:
+        """src_label, src, type, dst_label, dst, info (type and properties, joined by ``|``) of every edge of these kinds."""
 
         def plain(k: EdgeKind, e: DataFrame) -> DataFrame:
             return e.select(F.lit(k.src).alias("src_label"), "src", F.lit(k.type).alias("type"), F.lit(k.dst).alias("dst_label"), "dst", edge_info(k.type, e).alias("info"))
 
-        return reduce(DataFrame.unionAll, (plain(k, e) for k, e in self.edges.items()))
+        return reduce(DataFrame.unionAll, (plain(k, self.edges[k]) for k in kinds))
+
+    def all_edges(self) -> DataFrame:
+        """As ``edges_of``, of every kind."""
+        return self.edges_of(*self.edges)
+
+    def size(self) -> DataFrame:
+        """vertices, edges: how many there are in all."""
+        return self.label_counts().agg(F.sum("vertices").alias("vertices")).join(F.broadcast(self.edge_kind_counts().agg(F.sum("edges").alias("edges"))))  # one row each
 
     def all_vertices(self) -> DataFrame:
         """label, id of every vertex."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.storage import settled, staged
+from graphloom.storage import staged
 
 
 def page_rank(vertices: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
@@ -36,7 +36,7 @@ def page_rank_all_labels(graph: PropertyGraph, iterations: int = 10, damping: fl
     """label, id, rank of every vertex, over the edges of every kind."""
     key = lambda a, b: F.struct(F.col(a).alias("label"), F.col(b).alias("id"))
     e = graph.all_edges().select(key("src_label", "src").alias("src"), key("dst_label", "dst").alias("dst"))
-    ranks = page_rank(graph.all_vertices().select(key("label", "id").alias("id")), settled(e, "rank-all-edges"), iterations, damping)
+    ranks = page_rank(graph.all_vertices().select(key("label", "id").alias("id")), staged(e, "rank-all-edges"), iterations, damping)
     return ranks.select("id.label", "id.id", "rank")
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import settled, staged
+from graphloom.storage import discard, staged
 
 
 def bfs_levels(start: DataFrame, edges: DataFrame, max_depth: int | None = None, target: int | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def bfs_levels(start: DataFrame, edges: DataFrame, max_depth: int | None = None,
     levels = [staged(start.select("vid").distinct().withColumn("depth", F.lit(0)), "bfs")]
     e = edges.select(F.col("src").alias("vid"), "dst")
     if max_depth != 1:
-        e = settled(e, "bfs-edges")
+        e = staged(e, "bfs-edges")  # derived once, not each level
     while max_depth is None or len(levels) <= max_depth:
         seen = reduce(DataFrame.unionAll, levels).select("vid")
         step = levels[-1].select("vid").join(e, "vid").select(F.col("dst").alias("vid")).distinct().join(seen, "vid", "left_anti")
@@ -68,7 +68,7 @@ def search_paths(start: DataFrame, edges: DataFrame, k: int, direction: str = "o
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
     e = edges.select(F.col(a).alias("vid"), F.col(b).alias("to"), "info")
     if k > 1:
-        e = settled(e, "path-edges")
+        e = staged(e, "path-edges")
     step0 = F.array(F.struct(F.col("vid"), F.lit("").alias("info")))
     levels = [staged(start.select("vid").distinct().select("vid", F.lit(0).alias("depth"), step0.alias("path")), "path")]
     for depth in range(1, k + 1):
@@ -98,14 +98,19 @@ def children(paths: DataFrame) -> DataFrame:
 
 
 def roots(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """id, root, depth in a reply forest (``src`` replies to ``dst``), by doubling the reach of each pointer."""
-    now = staged(
-        vertices.select("id").join(edges.select(F.col("src").alias("id"), "dst"), "id", "left").select("id", F.coalesce("dst", "id").alias("up"), F.when(F.col("dst").isNull(), 0).otherwise(1).cast("long").alias("depth")),
-        "roots",
-    )
-    while True:
-        far = now.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        after = staged(now.join(far, "up").select("id", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("top") != F.col("up")).alias("moved")), "roots")
-        now = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return now.select("id", F.col("up").alias("root"), "depth")
+    """id, root, depth in a reply forest (``src`` replies to ``dst``), by doubling the reach of each pointer.
+
+    A reply to a vertex that is not in ``vertices``, or to itself, is a root; of several
+    parents the smallest id counts. Vertices on a cycle of replies, or that lead to one, have null root and depth.
+    """
+    known = vertices.select("id").distinct()
+    parent = edges.where("src != dst").join(known.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("up"))
+    now = staged(known.join(parent, "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("done")), "roots")
+    left, reach, most = now.where("not done").count(), 1, now.count()
+    while left and reach < 2 * most:  # beyond that, what is not done runs in circles
+        far = now.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        moved = now.where("not done").join(far, "up").select("id", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        after = staged(now.where("done").unionByName(moved), "roots")
+        discard(now)
+        now, reach, left = after, 2 * reach, after.where("not done").count()
+    return now.select("id", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))

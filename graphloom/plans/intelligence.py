@@ -21,7 +21,7 @@ def _class_tags(g: PropertyGraph, tagclass: str) -> DataFrame:
 def _country_persons(g: PropertyGraph, country: str) -> DataFrame:
     """Persons in a country's cities: id."""
     cities = g.edge("isPartOf").join(g.vertices["country"].where(F.col("name") == country).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("dst"))
-    return g.edge("isLocatedIn").join(cities, "dst", "left_semi").select(F.col("src").alias("id"))
+    return g.edge("isLocatedIn", "person").join(cities, "dst", "left_semi").select(F.col("src").alias("id"))
 
 
 def bi2(g: PropertyGraph, date: str, tagclass: str, days: int = 100) -> DataFrame:
@@ -29,7 +29,7 @@ def bi2(g: PropertyGraph, date: str, tagclass: str, days: int = 100) -> DataFram
     day = F.col("day")
     first, second = day_window(day, date, days), day_window(day, date, days, days)
     tags = _class_tags(g, tagclass)
-    said = g.edge("hasTag").select(F.col("dst").alias("id"), F.col("src").alias("m")).join(g.vertices["message"].where(first | second).select(F.col("id").alias("m"), "day"), "m")
+    said = g.edge("hasTag", "message").select(F.col("dst").alias("id"), F.col("src").alias("m")).join(g.vertices["message"].where(first | second).select(F.col("id").alias("m"), "day"), "m")
     n = said.groupBy("id").agg(F.count_if(first).alias("a"), F.count_if(second).alias("b"))
     both = tags.join(n, "id", "left").select(F.col("name").alias("tagName"), F.coalesce("a", F.lit(0)).alias("countWindow1"), F.coalesce("b", F.lit(0)).alias("countWindow2"))
     return top(both.withColumn("diff", F.abs(F.col("countWindow1") - F.col("countWindow2"))), 100, F.col("diff").desc(), "tagName")
@@ -37,7 +37,7 @@ def bi2(g: PropertyGraph, date: str, tagclass: str, days: int = 100) -> DataFram
 
 def bi3(g: PropertyGraph, tagclass: str, country: str) -> DataFrame:
     """Forums with a moderator in a country, by the messages of their post trees on a class of tags."""
-    tagged = g.edge("hasTag").join(_class_tags(g, tagclass).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    tagged = g.edge("hasTag", "message").join(_class_tags(g, tagclass).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
     root = roots(g.edge("replyOf"), g.vertices["message"])
     forums = g.edge("hasModerator").join(_country_persons(g, country).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("forumId"), F.col("dst").alias("personId"))
     threads = g.edge("containerOf").select(F.col("src").alias("forumId"), F.col("dst").alias("root")).join(forums, "forumId")
@@ -49,9 +49,9 @@ def bi3(g: PropertyGraph, tagclass: str, country: str) -> DataFrame:
 def bi10(g: PropertyGraph, person: int, country: str, tagclass: str, least: int = 3, most: int = 4) -> DataFrame:
     """Experts in a country at distance 3 to 4, by every tag of their messages that touch a class of tags."""
     experts = friends(g.edge("knows"), person, least, most).select(F.col("vid").alias("id")).join(_country_persons(g, country), "id", "left_semi")
-    touching = g.edge("hasTag").join(_class_tags(g, tagclass).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("m")).distinct()
+    touching = g.edge("hasTag", "message").join(_class_tags(g, tagclass).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("m")).distinct()
     said = g.vertices["message"].select(F.col("id").alias("m"), F.col("creator").alias("id")).join(experts, "id", "left_semi").join(touching, "m", "left_semi")
-    n = said.join(g.edge("hasTag").select(F.col("src").alias("m"), F.col("dst").alias("tag")), "m").groupBy(F.col("id").alias("personId"), "tag").agg(F.count("*").alias("messageCount"))
+    n = said.join(g.edge("hasTag", "message").select(F.col("src").alias("m"), F.col("dst").alias("tag")), "m").groupBy(F.col("id").alias("personId"), "tag").agg(F.count("*").alias("messageCount"))
     named = n.join(g.vertices["tag"].select(F.col("id").alias("tag"), F.col("name").alias("tagName")), "tag")
     return top(named.select("personId", "tagName", "messageCount"), 100, F.col("messageCount").desc(), "tagName", "personId")
 
@@ -70,7 +70,7 @@ def bi16(g: PropertyGraph, tag_a: int, day_a: str, tag_b: int, day_b: str, max_k
 
     def posters(tag: int, day: str, name: str) -> DataFrame:
         m = g.vertices["message"].where(F.col("day") == F.to_date(F.lit(day))).select(F.col("id").alias("src"), "creator")
-        n = g.edge("hasTag").where(F.col("dst") == tag).join(m, "src").groupBy(F.col("creator").alias("id")).agg(F.countDistinct("src").alias(name))
+        n = g.edge("hasTag", "message").where(F.col("dst") == tag).join(m, "src").groupBy(F.col("creator").alias("id")).agg(F.countDistinct("src").alias(name))
         friends_in = g.edge("knows").join(n.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
         return n.join(friends_in, "id", "left").where(F.coalesce("k", F.lit(0)) <= max_knows).select("id", name)
 
@@ -103,7 +103,7 @@ def bi19(g: PropertyGraph, city1: int, city2: int, weights: DataFrame | None = N
 
     ``weights``: the projected graph, if it is at hand (``saved_weights``).
     """
-    at = g.edge("isLocatedIn")
+    at = g.edge("isLocatedIn", "person")
     one, two = (at.where(F.col("dst") == c).select(F.col("src").alias("vid")) for c in (city1, city2))
     swap = one.count() > two.count()  # fewer sources, fewer rows in the loop; knows goes both ways
     found = shortest_costs(weighted_knows(g) if weights is None else weights, *((two, one) if swap else (one, two)))

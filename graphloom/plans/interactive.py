@@ -65,7 +65,7 @@ def ic10(g: PropertyGraph, person: int, month: int) -> DataFrame:
     far = friends(g.edge("knows"), person, 2, 2).select(F.col("vid").alias("id"))
     who = g.vertices["person"].where(month_band(F.col("birthday"), month)).join(far, "id", "left_semi")
     tags = g.edge("hasInterest").where(F.col("src") == person).select("dst")
-    liked = g.edge("hasTag").join(tags, "dst", "left_semi").select(F.col("src").alias("post")).distinct().withColumn("liked", F.lit(1))
+    liked = g.edge("hasTag", "message").join(tags, "dst", "left_semi").select(F.col("src").alias("post")).distinct().withColumn("liked", F.lit(1))
     posts = g.vertices["message"].where("kind = 'post'").select(F.col("id").alias("post"), F.col("creator").alias("id"))
     score = who.select("id").join(posts, "id").join(liked, "post", "left").groupBy("id").agg(F.sum(F.when(F.col("liked") == 1, 1).otherwise(-1)).alias("n"))
     order = [F.col("score").desc(), F.col("id")]

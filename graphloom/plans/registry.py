@@ -14,6 +14,7 @@ from graphloom.operators.topk import top
 from graphloom.plans import intelligence, interactive
 from graphloom.sources.fixture import SQL as GRAPH_SQL
 from graphloom.sources.fixture import read, social_graph
+from graphloom.sources.fixture_csv import csv_social_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,7 +107,7 @@ def degree_out(g: PropertyGraph) -> DataFrame:
 
 @graph_query("SELECT t.id, count(src) AS degree FROM tag t LEFT JOIN hasTag ON dst = t.id GROUP BY t.id")
 def degree_in(g: PropertyGraph) -> DataFrame:
-    return expand.degrees(g.vertices["tag"], g.edge("hasTag"), "dst")
+    return expand.degrees(g.vertices["tag"], g.edge("hasTag", "message"), "dst")
 
 
 @graph_query(
@@ -136,13 +137,13 @@ def edge_info_parts(g: PropertyGraph) -> DataFrame:
 @graph_query("SELECT m.creator AS vid, t.dst AS nbr FROM message m JOIN hasTag t ON t.src = m.id WHERE m.creator < 20")
 def expand_out_typed(g: PropertyGraph) -> DataFrame:
     mine = g.vertices["message"].where("creator < 20").select(F.col("id").alias("m"), "creator")
-    return expand.out_neighbours(mine, g.edge("hasTag"), "m").select(F.col("creator").alias("vid"), "nbr")
+    return expand.out_neighbours(mine, g.edge("hasTag", "message"), "m").select(F.col("creator").alias("vid"), "nbr")
 
 
 @graph_query("SELECT m.creator AS vid, t.dst AS nbr FROM message m JOIN hasTag t ON t.src = m.id")
 def expand_out_typed_all(g: PropertyGraph) -> DataFrame:
     mine = g.vertices["message"].select(F.col("id").alias("m"), "creator")
-    return expand.out_neighbours(mine, g.edge("hasTag"), "m").select(F.col("creator").alias("vid"), "nbr")
+    return expand.out_neighbours(mine, g.edge("hasTag", "message"), "m").select(F.col("creator").alias("vid"), "nbr")
 
 
 @graph_query("SELECT creator AS vid, id AS nbr FROM message WHERE creator < 20")
@@ -196,7 +197,7 @@ def edges_between_all(g: PropertyGraph) -> DataFrame:
 
 @graph_query("SELECT DISTINCT m.id FROM message m JOIN hasTag t ON t.src = m.id JOIN hasInterest i ON i.dst = t.dst AND i.src = 1")
 def semi_join_exists(g: PropertyGraph) -> DataFrame:
-    liked = g.edge("hasTag").join(g.edge("hasInterest").where("src = 1").select("dst"), "dst", "left_semi")
+    liked = g.edge("hasTag", "message").join(g.edge("hasInterest").where("src = 1").select("dst"), "dst", "left_semi")
     return g.vertices["message"].select("id").join(liked.select(F.col("src").alias("id")), "id", "left_semi")
 
 
@@ -208,7 +209,7 @@ def not_friends_antijoin(g: PropertyGraph) -> DataFrame:
 
 @graph_query("SELECT DISTINCT dst AS nbr FROM hasTag WHERE src = 3 ORDER BY dst LIMIT 3")
 def first_neighbours(g: PropertyGraph) -> DataFrame:
-    return expand.first_neighbours(g.edge("hasTag"), 3, 3)
+    return expand.first_neighbours(g.edge("hasTag", "message"), 3, 3)
 
 
 @graph_query("SELECT id AS vid, creator AS nbr FROM message WHERE id < 500")
@@ -566,7 +567,7 @@ def _two_messages(g: PropertyGraph) -> list[tuple[int, str]]:
     out = []
     for pick in (F.min("id"), F.max("id")):
         first = m.agg(pick.alias("src"))
-        row = first.join(g.edge("hasTag"), "src").groupBy("src").agg(F.min("dst").alias("tag")).join(m.select(F.col("id").alias("src"), F.date_format("day", "yyyy-MM-dd").alias("day")), "src").first()
+        row = first.join(g.edge("hasTag", "message"), "src").groupBy("src").agg(F.min("dst").alias("tag")).join(m.select(F.col("id").alias("src"), F.date_format("day", "yyyy-MM-dd").alias("day")), "src").first()
         out.append((row["tag"], row["day"]) if row else (-1, "1970-01-01"))
     return out
 
@@ -585,6 +586,18 @@ def bi16(g: PropertyGraph) -> DataFrame:
     return intelligence.bi16(g, tag_a, day_a, tag_b, day_b)
 
 
+# The same queries after a way through CSV files and the ingest.
+
+
+def _through_csv(run: Callable[[PropertyGraph], DataFrame]) -> Query:
+    return lambda spark, sf_dir: run(csv_social_graph(spark, sf_dir))
+
+
+for _f in (khops, ic1, ic2, ic5, ic9, ic10, ic13, bi2, bi3, bi10, bi12, bi16, bi19):
+    QUERIES[f"csv_{_f.__name__}"] = _through_csv(_f)
+    SQL[f"csv_{_f.__name__}"] = SQL[_f.__name__]
+
+
 # Text.
 
 

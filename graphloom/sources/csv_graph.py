@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,21 +20,30 @@ TYPES = {
 SYMMETRIC = "knows"
 
 
-def csv_files(spark: SparkSession, directory: str) -> list[str]:
-    """All ``.csv`` files below a directory, in order of their paths."""
+#: Types of the leaks layout; every other column of it is text.
+LEAKS_TYPES = {"internal_id": "long", "ibcruc": "long"}
+
+
+def csv_files(spark: SparkSession, directory: str) -> dict[str, list[str]]:
+    """All ``.csv`` files below a directory by path; the parts of a folder ``name.csv`` that Spark wrote count as one file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(directory).select("path")
-    return sorted(r.path for r in found.collect())  # names of files, not their contents
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in found.collect():  # names of files, not their contents
+        folder, name = r.path.rsplit("/", 1)
+        out[folder if name.startswith("part-") and folder.endswith(".csv") else r.path].append(r.path)
+    return {k: sorted(v) for k, v in sorted(out.items())}
 
 
-def _read(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    df = spark.read.option("header", True).option("sep", sep).csv(path)
-    return df.toDF(*(c.lower() for c in df.columns)) if len({c.lower() for c in df.columns}) == len(df.columns) else df
+def _rows(spark: SparkSession, paths: list[str], columns: int, sep: str, quoted: bool) -> DataFrame:
+    """The lines after each file's header as text columns c0, c1, ...; columns go by place, as two may have one name."""
+    plain = {} if quoted else {"quote": "", "escape": ""}  # a quotation mark is a character like any other
+    return spark.read.options(header=True, sep=sep, **plain).schema(", ".join(f"c{i} string" for i in range(columns))).csv(paths)
 
 
 def header(spark: SparkSession, path: str, sep: str = "|") -> list[str]:
     """The lower-case column names of a file, as they stand in its first line."""
     first = spark.read.text(path).first()
-    return first[0].lower().split(sep) if first else []
+    return [c.strip().strip('"') for c in first[0].lower().lstrip("\ufeff").split(sep)] if first else []
 
 
 def classify(name: str, columns: list[str]) -> str:
@@ -47,12 +57,16 @@ def classify(name: str, columns: list[str]) -> str:
     raise ValueError(f"{name}: neither vertices nor edges: {columns}")
 
 
+def id_of(c: Column) -> Column:
+    """An id as a long; one that is missing or beyond a signed long is an error, not a lost row or a wrong number."""
+    return F.coalesce(c.try_cast("long"), F.raise_error(F.concat(F.lit("id out of range: "), F.coalesce(c, F.lit("none")))).cast("long"))
+
+
 def typed(column: str, name: str) -> Column:
     """A property in its type; strings are never null. Unknown names are an error."""
     c = F.col(f"`{column}`")
     if name == "id" or name.endswith(".id"):
-        # Ids beyond a signed long are an error, not a wrong number.
-        return F.when(c.isNull() | c.try_cast("long").isNotNull(), c.try_cast("long")).otherwise(F.raise_error(F.concat(F.lit("id out of range: "), c)))
+        return id_of(c)
     if name not in TYPES:
         raise ValueError(f"unknown property {name}")
     kind = TYPES[name]
@@ -68,30 +82,31 @@ def social_csv(spark: SparkSession, directory: str, sep: str = "|") -> PropertyG
     vertices: dict[str, list[DataFrame]] = defaultdict(list)
     edges: dict[EdgeKind, list[DataFrame]] = defaultdict(list)
     attributes: dict[tuple[str, str], list[DataFrame]] = defaultdict(list)
-    for path in csv_files(spark, directory):
+    for path, files in csv_files(spark, directory).items():
         name = path.rsplit("/", 1)[1][: -len(".csv")]
-        columns = header(spark, path, sep)
+        columns = header(spark, files[0], sep)
         kind = classify(name, columns)
         if kind == "ignored":
             continue
-        parts = name.lower().split("_")
-        # Both ids may have the same name: columns go by place.
-        df = spark.read.option("header", False).option("sep", sep).csv(path).toDF(*(f"c{i}" for i in range(len(columns))))
-        df = df.where(F.lower("c0") != columns[0])
+        parts = name.split("_")
+        df = _rows(spark, files, len(columns), sep, quoted=False)
         if kind == "vertex":
-            vertices[parts[0]].append(df.select(*(typed(f"c{i}", c).alias(c) for i, c in enumerate(columns))))
+            vertices[parts[0].lower()].append(df.select(*(typed(f"c{i}", c).alias(c) for i, c in enumerate(columns))))
         elif kind == "edge":
             ends = [c[: -len(".id")] for c in columns[:2]]
             rest = [typed(f"c{i}", c).alias(c) for i, c in enumerate(columns) if i > 1]
             edges[EdgeKind(ends[0], parts[1], ends[1])].append(df.select(typed("c0", columns[0]).alias("src"), typed("c1", columns[1]).alias("dst"), *rest))
         else:
             attributes[columns[0][: -len(".id")], columns[1]].append(df.select(typed("c0", columns[0]).alias("id"), F.coalesce("c1", F.lit("")).alias("value")))
-    union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]), allowMissingColumns=True)
-    v = {k: union(d) for k, d in sorted(vertices.items())}
+    v = {k: _union(d) for k, d in sorted(vertices.items())}
     for (label, attribute), dfs in attributes.items():
-        v[label] = attach(v[label], union(dfs), attribute)
-    e = {k: union(d) for k, d in sorted(edges.items())}
-    return PropertyGraph(v, {k: symmetrized(d) if k.type == SYMMETRIC else d for k, d in e.items()})
+        v[label] = attach(v[label], _union(dfs), attribute)
+    e = {k: _union(d) for k, d in sorted(edges.items())}
+    return PropertyGraph(v, {k: symmetrized(d) if k.type.lower() == SYMMETRIC else d for k, d in e.items()})
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
 def attach(vertices: DataFrame, values: DataFrame, name: str) -> DataFrame:
@@ -101,17 +116,19 @@ def attach(vertices: DataFrame, values: DataFrame, name: str) -> DataFrame:
 
 
 def leaks_csv(spark: SparkSession, directory: str) -> PropertyGraph:
-    """``nodes-<label>.csv`` with node_id and ``edges-<src>-<type>-<dst>.csv`` with node_id_start, node_id_end; all other columns are text."""
-    vertices, edges = {}, {}
-    for path in csv_files(spark, directory):
-        parts = path.rsplit("/", 1)[1][: -len(".csv")].split("-")
-        df = _read(spark, path, ",")
-        text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns if c not in ("node_id", "node_id_start", "node_id_end")]
-        as_id = lambda c: F.col(c).cast("long")
-        if parts[0] == "nodes":
-            vertices[parts[1]] = df.select(as_id("node_id").alias("id"), *text)
-        elif parts[0] == "edges":
-            edges[EdgeKind(parts[1], parts[2], parts[3])] = df.select(as_id("node_id_start").alias("src"), as_id("node_id_end").alias("dst"), *text)
-        else:
-            raise ValueError(f"{path}: neither nodes nor edges")
-    return PropertyGraph(vertices, edges)
+    """``nodes-<label>.csv`` with node_id and ``edges-<src>-<type>-<dst>.csv`` with node_id_start, node_id_end.
+
+    Labels and types are in lower case; files of one label or kind, in any folder, are one table.
+    """
+    vertices: dict[str, list[DataFrame]] = defaultdict(list)
+    edges: dict[EdgeKind, list[DataFrame]] = defaultdict(list)
+    ids = {"node_id": "id", "node_id_start": "src", "node_id_end": "dst"}
+    for path, files in csv_files(spark, directory).items():
+        parts = path.rsplit("/", 1)[1][: -len(".csv")].lower().split("-")
+        columns = header(spark, files[0], ",")
+        if not (parts[0] == "nodes" and len(parts) == 2 and "node_id" in columns) and not (parts[0] == "edges" and len(parts) == 4 and {"node_id_start", "node_id_end"} <= set(columns)):
+            raise ValueError(f"{path}: neither nodes nor edges: {columns}")
+        kept = lambda i, c: F.col(f"c{i}").try_cast(LEAKS_TYPES[c]) if c in LEAKS_TYPES else F.coalesce(F.col(f"c{i}"), F.lit(""))
+        df = _rows(spark, files, len(columns), ",", quoted=True).select(*(id_of(F.col(f"c{i}")).alias(ids[c]) if c in ids else kept(i, c).alias(c) for i, c in enumerate(columns)))
+        (vertices[parts[1]] if parts[0] == "nodes" else edges[EdgeKind(parts[1], parts[2], parts[3])]).append(df)
+    return PropertyGraph({k: _union(d) for k, d in sorted(vertices.items())}, {k: _union(d) for k, d in sorted(edges.items())})

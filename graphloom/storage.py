@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import shutil
 import tempfile
 import uuid
@@ -19,6 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: executors of {master} would each write to a disk of their own")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -35,12 +37,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_on_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    files, where = _hadoop(spark, path)
+    files.deleteOnExit(where)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` itself if it only scans, filters and projects; else written out, so that a loop does not derive it each round."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return staged(df, name) if re.search(r"\b(Join|Aggregate|Window|Generate|Sort|Distinct)\b", plan) else df
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``staged`` wrote for tables that no plan reads any more: the superseded rounds of a loop."""
+    for df in tables:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            files, where = _hadoop(df.sparkSession, path)
+            files.delete(where, True)

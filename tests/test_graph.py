@@ -135,6 +135,14 @@ def test_roots(g):
     assert sorted(rows(traverse.roots(g.edge("replyOf"), g.vertices["message"]))) == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 3, 0), (4, 4, 0), (5, 4, 1)]
 
 
+def test_roots_of_odd_replies(spark):
+    """A reply to an unknown vertex or to itself is a root; cycles have none; of two parents the smaller counts."""
+    v = spark.range(10)
+    e = spark.createDataFrame([(1, 0), (2, 99), (3, 2), (4, 4), (5, 6), (6, 7), (7, 5), (8, 5), (9, 3), (9, 1)], "src long, dst long")
+    got = {r.id: (r.root, r.depth) for r in traverse.roots(e, v).collect()}
+    assert got == {0: (0, 0), 1: (0, 1), 2: (2, 0), 3: (2, 1), 4: (4, 0), 5: (None, None), 6: (None, None), 7: (None, None), 8: (None, None), 9: (0, 2)}
+
+
 def test_long_chain_roots(spark):
     v = spark.range(300)
     e = spark.range(1, 300).select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
