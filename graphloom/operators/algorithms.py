@@ -2,41 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.graph import PropertyGraph
-from graphloom.storage import staged
+from graphloom.operators.traverse import bfs_levels
+from graphloom.storage import bucketed, discard, staged
+
+
+#: Edges of a graph that may go to every task whole (24 bytes each), and cells of a task's matrix.
+SMALL_EDGES, CELLS = 2_000_000, 1 << 19
 
 
 def page_rank(vertices: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """id, rank after a fixed number of rounds.
 
     Ranks start at 1/N; the rank of vertices without out-edges is spread evenly. Edges get
-    their source's degree once, so a round is one join and one aggregation.
+    their source's degree and lie in buckets of it, so a round deals ranks and contributions, no edges.
     ``vertices``: id; ``edges``: src, dst. Parallel edges count each.
     """
-    v = staged(vertices.select("id").distinct(), "rank-vertices")
+    e = bucketed(edges.select(F.col("src").alias("id"), "dst", F.count("*").over(Window.partitionBy("src")).alias("deg")), "rank_edges", "id")
+    v = bucketed(vertices.select("id").distinct().join(e.select("id", "deg").distinct(), "id", "left"), "rank_vertices", "id")
     n = v.count()
     if not n:
-        return v.withColumn("rank", F.lit(0.0))
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    e = staged(edges.join(degree, "src").select(F.col("src").alias("id"), "dst", "deg"), "rank-edges")
-    sinks = staged(v.join(degree.select(F.col("src").alias("id")), "id", "left_anti"), "rank-sinks")
+        return v.select("id", F.lit(0.0).alias("rank"))
     ranks = v.withColumn("rank", F.lit(1.0 / n))
     for _ in range(iterations):
-        lost = sinks.join(ranks, "id").agg(F.sum("rank")).first()[0] or 0.0
-        gained = ranks.join(e, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+        lost = ranks.where("deg is null").agg(F.sum("rank")).first()[0] or 0.0
+        gained = ranks.select("id", "rank").join(e, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         base = (1 - damping + damping * lost) / n
-        ranks = staged(v.join(gained, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
-    return ranks
+        after = staged(v.join(gained, "id", "left").select("id", "deg", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
+        if ranks is not v:
+            discard(ranks)
+        ranks = after
+    discard(e, v)
+    return ranks.select("id", "rank")
+
+
+def keyed_edges(graph: PropertyGraph) -> DataFrame:
+    """src, dst of the edges of every kind, as (label, id)."""
+    key = lambda a, b: F.struct(F.col(a).alias("label"), F.col(b).alias("id"))
+    return graph.all_edges().select(key("src_label", "src").alias("src"), key("dst_label", "dst").alias("dst"))
+
+
+def _start(graph: PropertyGraph, label: str, vid: int) -> DataFrame:
+    """The vertex as a frontier; none if there is no such vertex."""
+    return graph.vertices[label].where(F.col("id") == vid).select(F.struct(F.lit(label).alias("label"), F.col("id").cast("long").alias("id")).alias("vid")).limit(1)
+
+
+def bfs_all_labels(graph: PropertyGraph, label: str, vid: int) -> DataFrame:
+    """label, id, depth of every vertex over the edges of every kind, to the end; -1 where it is not reached."""
+    levels = bfs_levels(_start(graph, label, vid), keyed_edges(graph))
+    every = graph.all_vertices().select(F.struct("label", F.col("id").cast("long").alias("id")).alias("vid"))
+    return every.join(levels, "vid", "left").select("vid.label", "vid.id", F.coalesce("depth", F.lit(-1)).alias("depth"))
+
+
+def khop_any_label(graph: PropertyGraph, label: str, vid: int, k: int) -> DataFrame:
+    """Number of vertices of any label within ``k`` hops over the edges of every kind, the start left out."""
+    return bfs_levels(_start(graph, label, vid), keyed_edges(graph), k).where("depth > 0").agg(F.count("*").alias("vertices"))
 
 
 def page_rank_all_labels(graph: PropertyGraph, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """label, id, rank of every vertex, over the edges of every kind."""
     key = lambda a, b: F.struct(F.col(a).alias("label"), F.col(b).alias("id"))
-    e = graph.all_edges().select(key("src_label", "src").alias("src"), key("dst_label", "dst").alias("dst"))
-    ranks = page_rank(graph.all_vertices().select(key("label", "id").alias("id")), staged(e, "rank-all-edges"), iterations, damping)
+    ranks = page_rank(graph.all_vertices().select(key("label", "id").alias("id")), keyed_edges(graph), iterations, damping)
     return ranks.select("id.label", "id.id", "rank")
 
 
@@ -51,22 +85,86 @@ def interaction_weights(knows: DataFrame, replies: DataFrame) -> DataFrame:
     return pairs.join(n, ["low", "high"], "left").select("src", "dst", F.greatest(F.round(40 - F.sqrt(F.coalesce("n", F.lit(0)))), F.lit(1.0)).alias("weight"))
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def shortest_costs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, small: int = SMALL_EDGES) -> DataFrame:
     """source, vid, cost of the cheapest path from each source to each vertex (or target) it reaches.
 
-    Rounds of relaxation over what improved in the round before. ``edges``: src, dst,
-    weight >= 0; ``sources`` and ``targets``: vid. Take the smaller side as sources.
+    ``edges``: src, dst, weight >= 0; ``sources`` and ``targets``: vid. Take the smaller side
+    as sources. A graph of at most ``small`` edges goes to every task, which relaxes its
+    share of the sources as matrices; of a larger one rounds of joins relax what improved before.
     """
     e = staged(edges.select(F.col("src").alias("vid"), "dst", "weight"), "cost-edges")
-    best = staged(sources.select(F.col("vid").alias("source"), "vid", F.lit(0.0).alias("cost")).distinct(), "cost")
+    starts = sources.select(F.col("vid").cast("long").alias("vid")).distinct()
+    if e.count() <= small:
+        return _relaxed_in_tasks(e, starts, targets)
+    return _relaxed_in_rounds(e, starts, targets)
+
+
+def _relaxed_in_tasks(e: DataFrame, starts: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """Costs over a graph whose size is checked; every source is one row of a matrix of costs."""
+    spark = e.sparkSession
+    rows = e.toPandas()
+    ids, ends = np.unique(np.concatenate([rows["vid"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64)]), return_inverse=True)
+    src, dst = np.split(ends, 2)
+    order = np.argsort(dst, kind="stable")
+    src, dst, weight = src[order], dst[order], rows["weight"].to_numpy(np.float64)[order]
+    into, first = np.unique(dst, return_index=True)
+    wanted = np.ones(len(ids), dtype=bool)
+    if targets is not None:  # of the targets only those in the graph, which is bounded
+        ends = e.select("vid").unionAll(e.select("dst")).distinct().join(targets.select("vid").distinct(), "vid", "left_semi").toPandas()["vid"]
+        wanted = np.isin(ids, ends.to_numpy(np.int64))
+    graph = spark.sparkContext.broadcast((ids, src, weight, into, first, wanted))
+    chunk = max(1, CELLS // max(1, len(src), len(ids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, src, weight, into, first, wanted = graph.value
+        at_wanted = np.flatnonzero(wanted)
+        for b in batches:
+            every = b.column(0).to_numpy()
+            place = np.minimum(np.searchsorted(ids, every), max(0, len(ids) - 1))
+            known = ids[place] == every if len(ids) else np.zeros(len(every), dtype=bool)
+            alone, inside, place = every[~known], every[known], place[known]
+            # A source without an edge reaches itself.
+            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.array(alone), pa.array(np.zeros(len(alone)))], names=["source", "vid", "cost"])
+            for at in range(0, len(inside), chunk):
+                n = len(inside[at : at + chunk])
+                cost = np.full((len(ids), n), np.inf)
+                cost[place[at : at + n], np.arange(n)] = 0
+                over, least, old = np.empty((len(src), n)), np.empty((len(into), n)), np.empty((len(into), n))
+                falls = True
+                while falls:
+                    np.take(cost, src, axis=0, out=over, mode="clip")
+                    over += weight[:, None]
+                    np.minimum.reduceat(over, first, axis=0, out=least)
+                    np.take(cost, into, axis=0, out=old, mode="clip")
+                    falls = bool((least < old).any())
+                    cost[into] = np.minimum(least, old, out=least)
+                found = cost[at_wanted]
+                row, col = np.nonzero(np.isfinite(found))
+                yield pa.RecordBatch.from_arrays([pa.array(inside[at + col]), pa.array(ids[at_wanted[row]]), pa.array(found[row, col])], names=["source", "vid", "cost"])
+
+    # Written, as a sort after it would compute it twice.
+    found = staged(starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vid").mapInArrow(run, "source long, vid long, cost double"), "cost-found")
+    return found if targets is None else found.join(targets.select("vid").distinct(), "vid", "left_semi").select("source", "vid", "cost")
+
+
+def _relaxed_in_rounds(e: DataFrame, starts: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """Costs by joins; a source that has reached all targets drops what costs as much as the dearest of them."""
+    ends = None if targets is None else staged(targets.select("vid").distinct(), "cost-targets")
+    many = ends.count() if ends is not None else 0
+    best = staged(starts.select(F.col("vid").alias("source"), "vid", F.lit(0.0).alias("cost")), "cost")
     new = best
     while True:
         step = new.join(e, "vid").groupBy("source", F.col("dst").alias("vid")).agg(F.min(F.col("cost") + F.col("weight")).alias("cost"))
-        new = staged(step.join(best.withColumnRenamed("cost", "old"), ["source", "vid"], "left").where("old is null or cost < old").select("source", "vid", "cost"), "cost-new")
-        if new.isEmpty():
+        if ends is not None:
+            reached = best.join(ends, "vid", "left_semi").groupBy("source").agg(F.count("*").alias("n"), F.max("cost").alias("most")).where(F.col("n") == many)
+            step = step.join(reached.select("source", "most"), "source", "left").where("most is null or cost < most").select("source", "vid", "cost")
+        after = staged(step.join(best.withColumnRenamed("cost", "old"), ["source", "vid"], "left").where("old is null or cost < old").select("source", "vid", "cost"), "cost-new")
+        if after.isEmpty():
             break
-        best = staged(best.unionByName(new).groupBy("source", "vid").agg(F.min("cost").alias("cost")), "cost")
-    return best if targets is None else best.join(targets.select("vid").distinct(), "vid", "left_semi")
+        whole = staged(best.unionByName(after).groupBy("source", "vid").agg(F.min("cost").alias("cost")), "cost")
+        discard(best, new)
+        best, new = whole, after
+    return best if ends is None else best.join(ends, "vid", "left_semi").select("source", "vid", "cost")
 
 
 def project(edges: DataFrame, weight: Column | None = None, direction: str = "out") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import discard, staged
+from graphloom.storage import bucketed, discard, staged
 
 
 def bfs_levels(start: DataFrame, edges: DataFrame, max_depth: int | None = None, target: int | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def bfs_levels(start: DataFrame, edges: DataFrame, max_depth: int | None = None,
     levels = [staged(start.select("vid").distinct().withColumn("depth", F.lit(0)), "bfs")]
     e = edges.select(F.col("src").alias("vid"), "dst")
     if max_depth != 1:
-        e = staged(e, "bfs-edges")  # derived once, not each level
+        e = bucketed(e, "bfs_edges", "vid")  # derived and dealt once, not each level
     while max_depth is None or len(levels) <= max_depth:
         seen = reduce(DataFrame.unionAll, levels).select("vid")
         step = levels[-1].select("vid").join(e, "vid").select(F.col("dst").alias("vid")).distinct().join(seen, "vid", "left_anti")
@@ -68,7 +68,7 @@ def search_paths(start: DataFrame, edges: DataFrame, k: int, direction: str = "o
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
     e = edges.select(F.col(a).alias("vid"), F.col(b).alias("to"), "info")
     if k > 1:
-        e = staged(e, "path-edges")
+        e = bucketed(e, "path_edges", "vid")
     step0 = F.array(F.struct(F.col("vid"), F.lit("").alias("info")))
     levels = [staged(start.select("vid").distinct().select("vid", F.lit(0).alias("depth"), step0.alias("path")), "path")]
     for depth in range(1, k + 1):

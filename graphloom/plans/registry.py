@@ -134,35 +134,19 @@ def edge_info_parts(g: PropertyGraph) -> DataFrame:
 # Expansion.
 
 
-@graph_query("SELECT m.creator AS vid, t.dst AS nbr FROM message m JOIN hasTag t ON t.src = m.id WHERE m.creator < 20")
-def expand_out_typed(g: PropertyGraph) -> DataFrame:
-    mine = g.vertices["message"].where("creator < 20").select(F.col("id").alias("m"), "creator")
-    return expand.out_neighbours(mine, g.edge("hasTag", "message"), "m").select(F.col("creator").alias("vid"), "nbr")
-
-
 @graph_query("SELECT m.creator AS vid, t.dst AS nbr FROM message m JOIN hasTag t ON t.src = m.id")
-def expand_out_typed_all(g: PropertyGraph) -> DataFrame:
+def expand_out_typed(g: PropertyGraph) -> DataFrame:
     mine = g.vertices["message"].select(F.col("id").alias("m"), "creator")
     return expand.out_neighbours(mine, g.edge("hasTag", "message"), "m").select(F.col("creator").alias("vid"), "nbr")
 
 
-@graph_query("SELECT creator AS vid, id AS nbr FROM message WHERE creator < 20")
-def expand_in_typed(g: PropertyGraph) -> DataFrame:
-    return expand.in_neighbours(g.vertices["person"].where("id < 20").select(F.col("id").alias("vid")), g.edge("hasCreator"))
-
-
 @graph_query("SELECT p.id AS vid, m.id AS nbr FROM person p JOIN message m ON m.creator = p.id")
-def expand_in_typed_all(g: PropertyGraph) -> DataFrame:
+def expand_in_typed(g: PropertyGraph) -> DataFrame:
     return expand.in_neighbours(g.vertices["person"].select(F.col("id").alias("vid")), g.edge("hasCreator"))
 
 
-@graph_query("SELECT src AS vid, dst AS nbr FROM knows WHERE src < 50 UNION SELECT dst, src FROM knows WHERE dst < 50")
-def union_neighbors(g: PropertyGraph) -> DataFrame:
-    return expand.both_neighbours(g.vertices["person"].where("id < 50").select(F.col("id").alias("vid")), g.edge("knows"))
-
-
 @graph_query("SELECT src AS vid, dst AS nbr FROM knows UNION SELECT dst, src FROM knows")
-def union_neighbors_all(g: PropertyGraph) -> DataFrame:
+def union_neighbors(g: PropertyGraph) -> DataFrame:
     return expand.both_neighbours(g.vertices["person"].select(F.col("id").alias("vid")), g.edge("knows"))
 
 
@@ -183,14 +167,8 @@ def conditional_fetch(g: PropertyGraph) -> DataFrame:
     return expand.conditional_fetch(f, g.edge("hasMember"), g.vertices["person"], F.col("joinDate") >= F.to_date(F.lit("1998-01-01")), F.col("firstName") == "BUILDING").select("vid", "nbr")
 
 
-@graph_query("SELECT k.src, k.dst FROM knows k WHERE (k.src, k.dst) IN (SELECT dst, src FROM knows WHERE src < 100)")
-def edges_between(g: PropertyGraph) -> DataFrame:
-    back = g.edge("knows").where("src < 100").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return expand.edges_between(g.edge("knows"), back).select("src", "dst")
-
-
 @graph_query("SELECT k.src, k.dst FROM knows k WHERE (k.src, k.dst) IN (SELECT dst, src FROM knows)")
-def edges_between_all(g: PropertyGraph) -> DataFrame:
+def edges_between(g: PropertyGraph) -> DataFrame:
     back = g.edge("knows").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return expand.edges_between(g.edge("knows"), back).select("src", "dst")
 
@@ -212,13 +190,8 @@ def first_neighbours(g: PropertyGraph) -> DataFrame:
     return expand.first_neighbours(g.edge("hasTag", "message"), 3, 3)
 
 
-@graph_query("SELECT id AS vid, creator AS nbr FROM message WHERE id < 500")
-def single_neighbour(g: PropertyGraph) -> DataFrame:
-    return expand.single_neighbour(g.vertices["message"].where("id < 500").select(F.col("id").alias("vid")), g.edge("hasCreator"))
-
-
 @graph_query("SELECT id AS vid, creator AS nbr FROM message")
-def single_neighbour_all(g: PropertyGraph) -> DataFrame:
+def single_neighbour(g: PropertyGraph) -> DataFrame:
     return expand.single_neighbour(g.vertices["message"].select(F.col("id").alias("vid")), g.edge("hasCreator"))
 
 
@@ -237,7 +210,7 @@ def pairwise_interactions(g: PropertyGraph) -> DataFrame:
 @graph_query("SELECT a.id AS person1, b.id AS person2 FROM person a JOIN person b ON a.cityId = 1 AND b.cityId = 2")
 def city_pairs(g: PropertyGraph) -> DataFrame:
     p = g.vertices["person"]
-    return p.where("cityId = 1").select(F.col("id").alias("person1"), F.lit(1).alias("k")).join(p.where("cityId = 2").select(F.col("id").alias("person2"), F.lit(1).alias("k")), "k").select("person1", "person2")
+    return p.where("cityId = 1").select(F.col("id").alias("person1")).crossJoin(p.where("cityId = 2").select(F.col("id").alias("person2")))
 
 
 # Filters and scalars.
@@ -337,24 +310,41 @@ QUERIES["serial_bfs"] = QUERIES["bfs"]  # one engine: the reference's two varian
 _ALL = " UNION ALL ".join(f"SELECT '{a}:' || {'id' if rel in ('person', 'city', 'message', 'tag') and t in ('isLocatedIn', 'isPartOf', 'hasCreator', 'hasType') else 'src'} AS src, '{b}:' || { {'isLocatedIn': 'cityId', 'isPartOf': 'countryId', 'hasCreator': 'creator', 'hasType': '(SELECT c.id FROM tagclass c WHERE c.name = tagclass)'}.get(t, 'dst') } AS dst FROM {rel}" for a, t, b, rel in _KINDS)
 
 
-@graph_query(
-    f", everything AS MATERIALIZED ({_ALL}) {levels_sql("SELECT 'person:0' AS id", 'everything', 3)} SELECT split_part(id, ':', 1) AS label, CAST(split_part(id, ':', 2) AS BIGINT) AS id, d AS depth FROM lv3"
-)
-def bfs_all_labels(g: PropertyGraph) -> DataFrame:
-    key = lambda a, b: F.struct(F.col(a).alias("label"), F.col(b).alias("id"))
-    e = g.all_edges().select(key("src_label", "src").alias("src"), key("dst_label", "dst").alias("dst"))
-    start = e.sparkSession.range(1).select(F.struct(F.lit("person").alias("label"), F.lit(START).cast("long").alias("id")).alias("vid"))
-    return traverse.bfs_levels(start, e, 3).select("vid.label", "vid.id", "depth")
+_EVERYTHING = f", everything AS MATERIALIZED ({_ALL})"
+_FROM_PERSON = "SELECT 'person:0' AS id"
+_VERTICES = " UNION ALL ".join(f"SELECT '{n}' AS label, id FROM {n}" for n in _LABELS)
 
 
-@graph_query()
+@graph_query(f"{_EVERYTHING}{levels_sql(_FROM_PERSON, 'everything')} SELECT v.label, v.id, coalesce(d, -1) AS depth FROM ({_VERTICES}) v LEFT JOIN lv{LEVELS} l ON l.id = v.label || ':' || v.id")
 def bfs_whole_graph(g: PropertyGraph) -> DataFrame:
-    """Depth of every vertex of every label from a person, -1 where unreached; a brute-force test checks it."""
-    key = lambda a, b: F.struct(F.col(a).alias("label"), F.col(b).alias("id"))
-    e = g.all_edges().select(key("src_label", "src").alias("src"), key("dst_label", "dst").alias("dst"))
-    v = g.all_vertices().select(key("label", "id").alias("vid"))
-    levels = traverse.bfs_levels(v.where((F.col("vid.label") == "person") & (F.col("vid.id") == START)), e)
-    return v.join(levels, "vid", "left").select("vid.label", "vid.id", F.coalesce("depth", F.lit(-1)).alias("depth"))
+    """Depth of every vertex of every label from a person, -1 where unreached."""
+    return algorithms.bfs_all_labels(g, "person", START)
+
+
+@graph_query(f"{_EVERYTHING}{levels_sql(_FROM_PERSON, 'everything', 4)} SELECT count(*) AS vertices FROM lv4 WHERE d > 0")
+def khop_any_label(g: PropertyGraph) -> DataFrame:
+    return algorithms.khop_any_label(g, "person", START, 4)
+
+
+@graph_query(f"{_EVERYTHING} SELECT (SELECT count(*) FROM ({_VERTICES})) AS vertices, (SELECT count(*) FROM everything) AS edges")
+def graph_size(g: PropertyGraph) -> DataFrame:
+    return g.size()
+
+
+@graph_query(f"{_EVERYTHING} SELECT dst AS vid, src AS nbr FROM everything")
+def expand_in_all_labels(g: PropertyGraph) -> DataFrame:
+    """In-neighbours over the edges of every kind, from every vertex."""
+    name = lambda v: F.concat_ws(":", f"{v}.label", f"{v}.id")
+    every = g.all_vertices().select(F.struct("label", F.col("id").cast("long").alias("id")).alias("vid"))
+    return expand.in_neighbours(every, algorithms.keyed_edges(g)).select(name("vid").alias("vid"), name("nbr").alias("nbr"))
+
+
+@graph_query(f"{_EVERYTHING} SELECT src AS vid, dst AS nbr FROM everything")
+def expand_out_all_labels(g: PropertyGraph) -> DataFrame:
+    """Out-neighbours over the edges of every kind, from every vertex."""
+    name = lambda v: F.concat_ws(":", f"{v}.label", f"{v}.id")
+    every = g.all_vertices().select(F.struct("label", F.col("id").cast("long").alias("id")).alias("vid"))
+    return expand.out_neighbours(every, algorithms.keyed_edges(g)).select(name("vid").alias("vid"), name("nbr").alias("nbr"))
 
 
 @graph_query(f"{levels_sql(ONE, depth=2)} SELECT id AS vid, d AS depth FROM lv2 WHERE d BETWEEN 1 AND 2")
@@ -421,13 +411,13 @@ def conversation_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.roots(e, c).join(c, "id").select("conv_id", "turn", "root", "depth")
 
 
-def _rank_sql(rounds: int) -> str:
-    out = [", deg AS MATERIALIZED (SELECT src, count(*) AS n FROM knows GROUP BY src), nv AS (SELECT count(*) AS n FROM person)", ", r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT n FROM nv) AS r FROM person)"]
+def _rank_sql(rounds: int, edges: str = "knows", vertices: str = "person") -> str:
+    out = [f", deg AS MATERIALIZED (SELECT src, count(*) AS n FROM {edges} GROUP BY src), nv AS (SELECT count(*) AS n FROM {vertices})", f", r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT n FROM nv) AS r FROM {vertices})"]
     for k in range(1, rounds + 1):
         p = f"r{k - 1}"
         out.append(
-            f", s{k} AS MATERIALIZED (SELECT coalesce(sum(r), 0) AS s FROM {p} WHERE id NOT IN (SELECT src FROM deg)), g{k} AS MATERIALIZED (SELECT k.dst AS id, sum(r / n) AS got FROM {p} JOIN deg ON deg.src = {p}.id JOIN knows k ON k.src = {p}.id GROUP BY k.dst)"
-            f", r{k} AS MATERIALIZED (SELECT p.id, (0.15::DOUBLE + 0.85::DOUBLE * (SELECT s FROM s{k})) / (SELECT n FROM nv) + 0.85::DOUBLE * coalesce(got, 0) AS r FROM person p LEFT JOIN g{k} ON g{k}.id = p.id)"
+            f", s{k} AS MATERIALIZED (SELECT coalesce(sum(r), 0) AS s FROM {p} WHERE id NOT IN (SELECT src FROM deg)), g{k} AS MATERIALIZED (SELECT k.dst AS id, sum(r / n) AS got FROM {p} JOIN deg ON deg.src = {p}.id JOIN {edges} k ON k.src = {p}.id GROUP BY k.dst)"
+            f", r{k} AS MATERIALIZED (SELECT p.id, (0.15::DOUBLE + 0.85::DOUBLE * (SELECT s FROM s{k})) / (SELECT n FROM nv) + 0.85::DOUBLE * coalesce(got, 0) AS r FROM {vertices} p LEFT JOIN g{k} ON g{k}.id = p.id)"
         )
     return "".join(out) + f" SELECT id, round(r, 9) AS rank FROM r{rounds}"
 
@@ -441,13 +431,12 @@ SQL["serial_page_rank"] = SQL["page_rank"]
 QUERIES["serial_page_rank"] = QUERIES["page_rank"]
 
 
-@graph_query()
+@graph_query(f"{_EVERYTHING}, every AS MATERIALIZED (SELECT label || ':' || id AS id FROM ({_VERTICES})){_rank_sql(5, 'everything', 'every')}".replace("SELECT id, round(r, 9) AS rank FROM r5", "SELECT split_part(id, ':', 1) AS label, CAST(split_part(id, ':', 2) AS BIGINT) AS id, round(r, 9) AS rank FROM r5"))
 def page_rank_all_labels(g: PropertyGraph) -> DataFrame:
-    """Ranks of every vertex of every label over all edges; a brute-force test checks it."""
+    """Ranks of every vertex of every label over all edges."""
     return algorithms.page_rank_all_labels(g, 5).select("label", "id", F.round("rank", 9).alias("rank"))
 
 
-QUERIES["serial_page_rank_all_labels"] = QUERIES["page_rank_all_labels"]
 
 _WEIGHTS = (
     ", rep AS MATERIALIZED (SELECT least(a.creator, b.creator) AS low, greatest(a.creator, b.creator) AS high, count(*) AS n FROM replyOf r JOIN message a ON a.id = r.src JOIN message b ON b.id = r.dst WHERE a.creator <> b.creator GROUP BY ALL)"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import UTC, date, datetime
 
-#: Name and type of each query's parameters. Values with spaces need the ``|`` format.
+#: Name and type of each query's parameters. Values with spaces need another separator than a space.
 PARAMETERS: dict[str, tuple[tuple[str, str], ...]] = {
     "bfs": (("person", "long"),),
     "page_rank": (("iterations", "long"), ("damping", "double")),
     "khops": (("person", "long"),),
+    "khop_any_label": (("label", "string"), ("vid", "long"), ("k", "long")),
     "ic1": (("person", "long"), ("first_name", "string")),
     "ic2": (("person", "long"), ("max_date", "ms")),
     "ic5": (("person", "long"), ("min_date", "ms")),
@@ -24,6 +25,15 @@ PARAMETERS: dict[str, tuple[tuple[str, str], ...]] = {
 }
 
 
+#: Whether a query's file begins with a header, and what parts its fields; (False, " ") for every other query.
+FORMATS: dict[str, tuple[bool, str]] = dict.fromkeys(("ic2", "ic9", "ic10", "bi2", "bi12", "bi19"), (True, "|"))
+
+
+def split_str(text: str, sep: str) -> list[str]:
+    """The fields of a line; runs of spaces part fields once, any other separator each time."""
+    return text.split() if sep == " " else text.split(sep)
+
+
 def parse_value(text: str, kind: str) -> object:
     if kind == "long":
         return int(text)
@@ -38,22 +48,17 @@ def parse_value(text: str, kind: str) -> object:
     return text
 
 
-def parse_case(query: str, line: str) -> dict[str, object]:
-    """Keyword arguments of one line, separated by ``|`` or, without any, by spaces."""
+def parse_case(query: str, line: str, sep: str | None = None) -> dict[str, object]:
+    """Keyword arguments of one line; a field too few or too many is an error."""
     names = PARAMETERS[query]
-    fields = line.split("|") if "|" in line else line.split()
-    if len(fields) < len(names):
+    fields = split_str(line, sep or FORMATS.get(query, (False, " "))[1])
+    if len(fields) != len(names):
         raise ValueError(f"{query} needs {len(names)} values: {line!r}")
-    return {n: parse_value(f.strip(), k) for (n, k), f in zip(names, fields, strict=False)}
-
-
-def cases(query: str, lines: list[str], limit: int | None = None) -> list[dict[str, object]]:
-    """All cases; a first line that does not parse is a header."""
-    out = []
-    for i, line in enumerate(x for x in lines if x.strip()):
-        try:
-            out.append(parse_case(query, line))
-        except ValueError:
-            if i:
-                raise
-    return out[:limit]
+    return {n: parse_value(f.strip(), k) for (n, k), f in zip(names, fields, strict=True)}
+
+
+def cases(query: str, lines: list[str], limit: int | None = None, header: bool | None = None, sep: str | None = None) -> list[dict[str, object]]:
+    """All cases, or the first ``limit``; ``header`` and ``sep`` stand in for the query's own format. Empty lines are passed by."""
+    full = [x for x in lines if x.strip()]
+    skip = FORMATS.get(query, (False, " "))[0] if header is None else header
+    return [parse_case(query, line, sep) for line in full[skip:][:limit]]
