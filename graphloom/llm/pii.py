@@ -42,10 +42,10 @@ _IP_OK = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 
 #: Generators of candidates: kind and pattern.
 GENERATORS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[({] ?(?:at|AT|@) ?[\])}] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}"),
-    ("phone", r"(?<![0-9A-Za-z.+-])(?:00[1-9][0-9]{0,2}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({] ?(?:at|AT|@) ?[\])}] ?| at )[A-Za-z0-9-]++(?:(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| dot |\.)[A-Za-z0-9-]++)++"),
+    ("phone", r"(?<![0-9A-Za-z.+-])(?:00[1-9][0-9]{0,2}[ .-])?(?:\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}|\([0-9]{2,5}\) ?[0-9]{3}[ .-]?[0-9]{3,5}|0[0-9]{2,4}[ ./-][0-9]{3,4}[ ./-]?[0-9]{3,5})(?![0-9A-Za-z-])"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}+(?![A-Za-z0-9+/_=-])"),
+    ("secret", r"(?<![A-Za-z0-9+/_.-])(?:eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)?+|AKIA[A-Z0-9]{12,}+|[A-Za-z0-9+/_-]{20,}+={0,2}+)(?![A-Za-z0-9+/_=-])"),
     ("id", r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])"),
 )
 CONTEXT = 32
@@ -53,11 +53,11 @@ CONTEXT = 32
 FEATURES = (
     ("span", r"[0-9]"), ("span", r"[A-Za-z]"), ("span", r"[ .()-]"), ("span", r"[a-f0-9]"), ("span", r"."), ("span", r"[A-Z]"),
     ("span", r"(?i)[\[({] ?(?:at|@) ?[\])}]| at "), ("span", r"(?i)[\[({] ?(?:dot|\.) ?[\])}]| dot "), ("span", r":"),
-    ("before", r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|sms)\b"), ("before", r"(?i)\b(?:e-?mail|write|reach|contact)\b"),
-    ("before", r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|auth|bearer|credential)s?\W{0,8}$"),
+    ("before", r"(?i)\b(?:tel|telefon[oe]?|t[eé]l[eé]phone|m[oó]vil|handy|phone|call|fax|mobile|cell|whatsapp|sms)\b"), ("before", r"(?i)\b(?:e-?mail|write|reach|contact)\b"),
+    ("before", r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|auth|bearer|credential|clave|contrase[nñ]a|passwort|kennwort|schl[uü]ssel|mot de passe|cl[eé]|jeton)s?\W{0,8}$"),
     ("before", r"(?i)\b(?:ssn|social security|passport|iban|account|tax id|id number)\b"),
     ("before", r"(?i)\b(?:version|page|isbn|issn|order|invoice|figure|table|section|build|part|serial|rev|commit|sha|md5|hash|checksum|time)\b"),
-    ("before", r"[A-Za-z0-9]$"), ("before", r"[\"'=:]\W?$"), ("after", r"[A-Za-z0-9]"), ("after", r"[\"']"),
+    ("span", r"^(?:eyJ[^.]{8,}\.|AKIA[A-Z0-9]{16}$)"), ("span", r"^0|^\("), ("before", r"[A-Za-z0-9]$"), ("before", r"[\"'=:]\W?$"), ("after", r"[A-Za-z0-9]"), ("after", r"[\"']"),
 )
 
 
@@ -79,13 +79,18 @@ def _examples(seed: int, n: int) -> list[tuple[str, str, str, str, int]]:
         out.append(("email", pick(plain(), pick("email", "contact", "reach me", "write to") + sep()), word() + at + word() + (dot if " at " != at else pick(" dot ", "[dot]")) + pick("com", "org", "net", "de"), pick(" ", "", "."), 1))
         out.append(("email", plain(), word() + " at " + word() + "." + word(), pick(" ", ""), 0))
         number = lambda s: some(dig, 3) + s + some(dig, 3) + s + some(dig, 4)
+        local = pick("0" + some(dig, 2) + pick("-", " ", "/") + some(dig, 3) + pick("-", " ", "") + some(dig, 4), "(0" + some(dig, 2) + ")" + some(dig, 3) + "-" + some(dig, 4), "0" + some(dig, 3) + " " + some(dig, 3) + " " + some(dig, 4))
+        out.append(("phone", pick("tel", "call me", "phone", "telefon", "teléfono", "téléphone", "móvil", "handy", "fax") + sep(), local, pick(" ", ".", ""), 1))
+        out.append(("phone", pick(pick("order", "isbn", "part", "serial", "invoice", "page") + sep(), plain() + some(dig, 4) + " "), "0" + some(dig, 3) + " " + some(dig, 3) + " " + some(dig, 4), pick(" ", ""), 0))
         out.append(("phone", pick("tel", "call me", "phone", "mobile", "fax", "cell") + sep(), pick(number("-"), number(" "), number("."), "(" + some(dig, 3) + ") " + some(dig, 3) + "-" + some(dig, 4)), pick(" ", ".", ""), 1))
         out.append(("phone", pick(pick("order", "isbn", "part", "serial", "version", "invoice", "page") + sep(), plain() + some(dig, 4) + " "), pick(number("-"), number(" "), number(".")), pick(" ", "", "-"), 0))
         out.append(("phone", plain(), "(" + some(dig, 3) + ") " + some(dig, 3) + "-" + some(dig, 4), pick(" ", ".", ""), 1))
         out.append(("ip", plain(), ":".join(some(hexa, pick(3, 4)) for _ in range(rng.integers(5, 9))), pick(" ", "."), 1))
         out.append(("ip", pick("time ", plain()), ":".join(some(dig, 2) for _ in range(4)), pick(" ", "."), 0))
-        secret = pick(some(hexa, 40), some(hexa, 32), some(low + dig + low.upper(), rng.integers(24, 48)))
-        out.append(("secret", pick("token", "api key", "secret", "password", "auth_token", "key") + pick(' = "', "=", ": ", " = ", '": "'), secret, pick('"', " ", "", "'"), 1))
+        secret = pick(some(hexa, 40), some(hexa, 32), some(low + dig + low.upper(), rng.integers(24, 48)), some(low + dig + low.upper() + "+/", 43) + "=")
+        part = lambda: some(low + dig + low.upper() + "_-", rng.integers(20, 60))
+        out.append(("secret", pick(plain(), "bearer "), pick("eyJ" + part() + "." + part() + "." + part(), "AKIA" + some(low.upper() + dig, 16)), pick(" ", ".", '"', ""), 1))
+        out.append(("secret", pick("token", "api key", "secret", "password", "auth_token", "key", "clave", "passwort", "mot de passe", "contraseña", "schlüssel") + pick(' = "', "=", ": ", " = ", '": "'), secret, pick('"', " ", "", "'"), 1))
         out.append(("secret", pick(pick("commit", "sha", "md5", "checksum", "hash", "build") + sep(), plain()), pick(secret, some(low, rng.integers(20, 40)), some(low, 12) + "-" + some(low, 12), some(dig, 24)), pick(" ", "", "."), 0))
         out.append(("id", pick("ssn", "social security number", "passport", "tax id") + sep(), some(dig, 3) + "-" + some(dig, 2) + "-" + some(dig, 4), pick(" ", "."), 1))
         out.append(("id", pick(pick("part", "order", "serial", "isbn", "table") + sep(), plain()), some(dig, 3) + "-" + some(dig, 2) + "-" + some(dig, 4), pick(" ", "."), int(rng.random() < 0.1)))
@@ -253,7 +258,7 @@ def with_spans(docs: DataFrame, text: str, base: str, spans: str) -> DataFrame:
     found = base_spans(body)
     own_spans = F.array_sort(F.concat(*(_places(found[k], i) for i, k in enumerate(BASE_KINDS))))
     none = _empty(_SPAN)
-    asks = {"email": body.rlike(r"(?i)[\[( {]at[\]) }]|[\[({] ?@"), "secret": body.rlike(r"[A-Za-z0-9+/_-]{20}"), "ip": F.contains(body, F.lit(":"))}
+    asks = {"email": body.rlike(r"(?i)[\[( {]at[\]) }]|[\[({] ?@"), "secret": body.rlike(r"[A-Za-z0-9+/_-]{20}|AKIA|eyJ"), "ip": F.contains(body, F.lit(":"))}
     digit = body.rlike("[0-9]")
     judged = F.concat(*(F.when(asks.get(k, digit), _places(_judged(body, k, p), KINDS.index(k))).otherwise(none) for k, p in GENERATORS))
     out = docs.withColumn(own, own_spans).withColumn(more, F.array_sort(judged))
