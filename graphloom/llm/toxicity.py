@@ -35,9 +35,7 @@ from graphloom.llm.labelled import held_out, learning_rows
 #: Bound of the labelled sample that the model is fitted on.
 LEARN_ROWS = 8_000
 WINDOW, STRIDE = 96, 64
-HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 8, 4, 200, 256, 0.02, 11
-#: Of a document, windows that the network is trained on; all are scored.
-TRAIN_WINDOWS = 6
+HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 8, 1, 400, 256, 0.02, 11
 BITS, PRIOR = 17, 10.0
 STARTS, GRAM = (4, 5, 6, 7, 8, 10), 4
 INPUTS = 1 + len(STARTS) + 2
@@ -239,21 +237,22 @@ def _train(x: np.ndarray, codes: np.ndarray, start: np.ndarray, n: np.ndarray, y
     rng = np.random.default_rng(SEED)
     net = new_network(rng)
     m, v, step = {k: 0.0 for k in net}, {k: 0.0 for k in net}, 0
-    rounds = max(EPOCHS, -(-LEAST_STEPS // -(-len(n) // BATCH)))  # small samples need more passes to converge
-    total = rounds * -(-len(n) // BATCH)
-    for _ in range(rounds):
-        order = rng.permutation(len(n))
-        for at in range(0, len(n), BATCH):
-            w = order[at : at + BATCH]
-            w = w[np.argsort(-n[w], kind="stable")]
-            g = _grads(net, x, codes, start[w], n[w], y[w], weight[w] / weight[w].sum())
-            size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-            step += 1
-            rate = RATE * (1 - step / (total + 1))
-            for k, q in g.items():
-                q = q * min(1.0, 1.0 / max(size, 1e-9))
-                m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.99 * v[k] + 0.01 * q * q
-                net[k] = (net[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    # Half of a batch has each label; the smaller side comes round more often until every window of the larger has come EPOCHS times.
+    sides = [np.flatnonzero(y == k) for k in (0, 1)]
+    half = BATCH // 2
+    total = max(LEAST_STEPS, EPOCHS * -(-max(map(len, sides)) // half))  # small samples need more passes to converge
+    drawn = [np.concatenate([rng.permutation(side) for _ in range(-(-total * half // len(side)))]) for side in sides]
+    for at in range(0, total * half, half):
+        w = np.concatenate([d[at : at + half] for d in drawn])
+        w = w[np.argsort(-n[w], kind="stable")]
+        g = _grads(net, x, codes, start[w], n[w], y[w], weight[w] / weight[w].sum())
+        size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
+        step += 1
+        rate = RATE * (1 - step / (total + 1))
+        for k, q in g.items():
+            q = q * min(1.0, 1.0 / max(size, 1e-9))
+            m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.99 * v[k] + 0.01 * q * q
+            net[k] = (net[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return net
 
 
@@ -284,35 +283,21 @@ def fit(texts: pa.Array, y: np.ndarray) -> dict | None:
     x = np.concatenate([inputs(words, o) for o in odds])
     crossed = codes + np.repeat(half, ends - begin) * len(words)
     start, n, doc = windows_of(ends)
-    rng = np.random.default_rng(SEED)
-    some = np.zeros(len(y), dtype=bool)
-    ones, zeros = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    some[ones] = True
-    zeros = rng.permutation(zeros)[: max(2 * len(ones), 200)]
-    some[zeros] = True
-    key = rng.random(len(n))
-    rank = np.empty(len(n), dtype=np.int64)
-    by = np.lexsort((key, doc))
     many = np.bincount(doc, minlength=len(y))
-    rank[by] = np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many)
-    use = np.flatnonzero(some[doc] & (rank < TRAIN_WINDOWS))
-    per = 1 / np.maximum(1, np.minimum(many, TRAIN_WINDOWS))[doc[use]]
-    yw = y[doc[use]].astype(np.float32)
-    weight = (per * np.where(yw == 1, 1 / max(1, len(ones)), 1 / max(1, len(zeros)))).astype(np.float32)
-    net = _train(x, crossed, start[use], n[use], yw, weight)
-    mine = np.flatnonzero(some[doc])
-    ids = np.flatnonzero(some)
-    s = _summary(window_logits(net, x, crossed, start[mine], n[mine]), np.searchsorted(ids, doc[mine]), len(ids), float(net["b"][0]))
-    # Back to the sample's share of labels: the clean documents left out count through their kind.
-    wt = np.where(y[ids] == 1, 1.0, (y == 0).sum() / max(1, len(zeros)))
+    toxic = max(1, int(y.sum()))
+    yw = y[doc].astype(np.float32)
+    # A document counts the same whatever its windows, a label the same whatever its documents.
+    weight = (1 / np.maximum(1, many)[doc] * np.where(yw == 1, 1 / toxic, 1 / max(1, len(y) - toxic))).astype(np.float32)
+    net = _train(x, crossed, start, n, yw, weight)
+    s = _summary(window_logits(net, x, crossed, start, n), doc, len(y), float(net["b"][0]))
     mean, std = s[:, 1:].mean(0), s[:, 1:].std(0) + 1e-6
     z = s.copy()
     z[:, 1:] = (s[:, 1:] - mean) / std
     w = np.zeros(4)
-    for _ in range(25):  # Newton's method on the weighted logistic loss
+    for _ in range(25):  # Newton's method on the logistic loss
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hess = (z * (wt * p * (1 - p))[:, None]).T @ z + np.eye(4) * 0.5
-        w -= np.linalg.solve(hess, z.T @ (wt * (p - y[ids])) + 0.5 * w)
+        hess = (z * (p * (1 - p))[:, None]).T @ z + np.eye(4) * 0.5
+        w -= np.linalg.solve(hess, z.T @ (p - y) + 0.5 * w)
     return {"net": net, "odds": log_odds(each, y, distinct), "w": w, "mean": mean, "std": std}
 
 
