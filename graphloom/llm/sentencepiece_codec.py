@@ -15,7 +15,9 @@ merge only after everything else, hence apart from the words.
 Defined results
 * a null or empty text has no ids; characters without a piece become bytes, or
   the unknown id in a model without byte pieces;
-* very long words (over ``LONG`` characters) are merged one by one, in n log n steps;
+* very long words are cut where no piece spans the border, and what is still long into
+  overlapping chunks that advance together; where a chunk agrees with the one before it
+  over the length of a piece, it goes on as the whole word would;
 * repeated rows get the same ids; an empty table gives an empty table; extra
   columns are ignored.
 """
@@ -36,7 +38,7 @@ from graphloom.llm.common import documents, map_last, quoted
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LONG, BLOCK_BYTES, FILTER_BITS, MEMORY_BITS = 48, 1 << 22, 21, 20
+LONG, STEP, BLOCK_BYTES, FILTER_BITS, MEMORY_BITS = 48, 192, 1 << 22, 21, 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNKNOWN = -1
 
@@ -110,7 +112,9 @@ class Codec:
     def prepare(self) -> Codec:
         if self.kind not in (1, 2) or self.trim or not self.prefix:
             raise ValueError("only unigram and BPE models with a leading space and untrimmed spaces are supported")
-        use = np.flatnonzero((self.types == 1) | (self.types == 4))
+        if (self.types == 4).any():
+            raise ValueError("models with user-defined pieces, which match before any other, are not supported")
+        use = np.flatnonzero(self.types == 1)
         ids = {self.pieces[i]: int(i) for i in use}
         byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.types[i] == 6}
         unknown = int(np.flatnonzero(self.types == 2)[0]) if (self.types == 2).any() else 0
@@ -137,10 +141,13 @@ class Codec:
         t["hash"][out] = h
         t["filter"] = np.zeros(1 << FILTER_BITS, dtype=bool)
         t["filter"][_mix(h) >> np.uint64(64 - FILTER_BITS)] = True
-        power = np.full(LONG + 64, _BASE, dtype=np.uint64)
+        power = np.full(max(map(len, self.pieces)) + 64, _BASE, dtype=np.uint64)
         power[0] = 1
         t["power"] = np.cumprod(power)
         t["pairs"], t["allowed"] = np.full(1 << MEMORY_BITS, -1, dtype=np.int64), np.zeros(1 << MEMORY_BITS, dtype=bool)
+        # Two characters that are neighbours in a piece; between any others a word may be cut.
+        inside = {ord(a) << 32 | ord(b) for i in use for a, b in zip(self.pieces[i], self.pieces[i][1:], strict=False)}
+        t["inside"] = np.array(sorted(inside), dtype=np.int64)
         # Decoding: the bytes of each id.
         raw = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.types, strict=True)]
         t["raw"], t["raw_at"] = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
@@ -153,7 +160,7 @@ class Codec:
             h = (h * _BASE + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    # One word at a time: for the tables and for very long words.
+    # One word at a time: for the tables and for runs of spaces.
 
     def merge(self, word: str, last: list | None = None) -> list[str]:
         """BPE by merging: best score first, then leftmost."""
@@ -284,7 +291,7 @@ class Codec:
             prefix[j + 1] = prefix[j] * np.uint64(_BASE) + chars[:, j].astype(np.uint64) + np.uint64(1)
         most = min(n, t["longest"])
         found = [None, *(self._probe(prefix[k:] - prefix[: n + 1 - k] * t["power"][k]) for k in range(1, most + 1))]
-        size, last = np.zeros((n + 1, w), dtype=np.int8), np.full((n + 1, w), _UNKNOWN, dtype=np.int64)
+        size, last = np.zeros((n + 1, w), dtype=np.int16), np.full((n + 1, w), _UNKNOWN, dtype=np.int64)
         if self.kind == 2:
             for j in range(1, n + 1):
                 left = np.arange(w)
@@ -313,17 +320,87 @@ class Codec:
                     best[j, up], size[j, up], last[j, up] = s[up], k, piece[up]
         return size, last
 
+    def _cut(self, chars: np.ndarray) -> list[int]:
+        """Places of a word before which no piece, and hence no merge, can span the border."""
+        pair = chars[:-1].astype(np.int64) << 32 | chars[1:].astype(np.int64)
+        known = self.tables["inside"]
+        at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        return (np.flatnonzero(known[at] != pair) + 1).tolist() if len(known) else list(range(1, len(chars)))
+
+    def _long(self, words: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each long word size and last of the segment that ends at each position, by chunks of equal length.
+
+        The segments at a position depend on those of as many positions before it as the longest piece has
+        characters, so a chunk that agrees with what is known over that length is right from there on.
+        """
+        most = self.tables["longest"]
+        width = STEP + 4 * most
+        chunks, place = [], []
+        for i, w in enumerate(words):
+            for at in range(0, max(1, len(w) - width + STEP), STEP):
+                # The last one is moved back, so that all of a word that is long enough have one length.
+                begin = max(0, min(at, len(w) - width))
+                chunks.append(w[begin : begin + width])
+                place.append((i, begin))
+        size = [np.zeros(len(w) + 1, dtype=np.int16) for w in words]
+        last = [np.full(len(w) + 1, _UNKNOWN, dtype=np.int64) for w in words]
+        done, stuck = [0] * len(words), set()
+        length = np.array([len(c) for c in chunks])
+        got: list = [None] * len(chunks)
+        for n in np.unique(length):
+            group = np.flatnonzero(length == n)
+            s, p = self._equal_length(np.stack([chunks[k] for k in group]))
+            for row, k in enumerate(group):
+                got[k] = (s[:, row], p[:, row])
+        for (i, begin), (s, p) in zip(place, got, strict=True):
+            if i in stuck:
+                continue
+            known = done[i] - begin  # positions of the chunk that the ones before it settled
+            if begin:
+                same = (s[1 : known + 1] == size[i][begin + 1 : done[i] + 1]) & (p[1 : known + 1] == last[i][begin + 1 : done[i] + 1])
+                run = np.flatnonzero(~same)
+                if known - (run[-1] + 1 if len(run) else 0) < most or self.kind != 2:
+                    stuck.add(i)
+                    continue
+            size[i][begin + known + 1 : begin + len(s)], last[i][begin + known + 1 : begin + len(s)] = s[known + 1 :], p[known + 1 :]
+            done[i] = begin + len(s) - 1
+        for i in stuck:  # no agreement, or sums, which have none: the word as one chunk
+            s, p = self._equal_length(words[i][None, :])
+            size[i], last[i] = s[:, 0], p[:, 0]
+        return list(zip(size, last, strict=True))
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words in a row, their bounds, and whether a word's first id is a bare space mark.
 
         Every word begins with the space mark and has no other.
         """
+        parts, first = list(words), {}
+        for i in [i for i, w in enumerate(words) if len(w) > LONG]:
+            cuts = self._cut(np.frombuffer(words[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+            pieces = [words[i][a:b] for a, b in zip([0, *cuts], [*cuts, len(words[i])], strict=True)]
+            first[i] = (len(parts), len(pieces))
+            parts += pieces
+        found = self._encode_parts([("" if i in first else w) for i, w in enumerate(parts)])
+        out = [np.concatenate(found[first[i][0] : sum(first[i])]) if i in first else found[i] for i in range(len(words))]
+        sizes = np.array([len(x) for x in out], dtype=np.int64)
+        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        return flat, at, flat[at[:-1]] == self.tables["ids"].get(SPACE, -2) if len(flat) else np.zeros(0, bool)
+
+    def _encode_parts(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word."""
         n = np.array([len(w) for w in words], dtype=np.int64)
-        out: list[np.ndarray | None] = [None] * len(words)
-        one = self.merge if self.kind == 2 else self.best_sum
-        for i in np.flatnonzero(n > LONG):
-            out[i] = np.array(self._ids(one(words[i])), dtype=np.int64)
-        for length in np.unique(n[n <= LONG]):
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        long = np.flatnonzero(n > LONG)
+        wide = [np.frombuffer(words[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for i in long]
+        for i, (size, last) in zip(long, self._long(wide), strict=True):
+            end, ids = int(n[i]), []
+            while end:
+                piece = int(last[end])
+                ids.append([piece] if piece >= 0 else self._ids([words[i][end - 1]]))
+                end -= int(size[end])
+            out[i] = np.array([x for part in reversed(ids) for x in part], dtype=np.int64)
+        for length in np.unique(n[(n > 0) & (n <= LONG)]):
             group = np.flatnonzero(n == length)
             chars = np.frombuffer("".join([words[i] for i in group]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(group), length)
             size, last = self._equal_length(chars)
@@ -341,12 +418,9 @@ class Codec:
             for k, i in enumerate(group):
                 out[i] = ragged[k]
                 if k in odd:
-                    ends = np.split(end, cut)[k] if len(odd) < 2 else end[np.searchsorted(row, k) : np.searchsorted(row, k + 1)]
+                    ends = end[np.searchsorted(row, k) : np.searchsorted(row, k + 1)]
                     out[i] = np.array([x for p, e in zip(ragged[k], ends, strict=True) for x in ([int(p)] if p >= 0 else self._ids([words[i][e - 1]]))], dtype=np.int64)
-        sizes = np.array([len(x) for x in out], dtype=np.int64)
-        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        return flat, at, flat[at[:-1]] == self.tables["ids"].get(SPACE, -2) if len(flat) else np.zeros(0, bool)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the end of each text in them."""
@@ -421,7 +495,7 @@ class Codec:
 
 
 def with_ids(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", same: str | None = None) -> DataFrame:
-    """``docs`` with the column ``ids`` in place of the text; ``same``: whether decoding gives the text back."""
+    """``docs`` with the column ``ids`` in place of the text; ``same``: whether decoding gives the very text back (not where it holds the space mark itself)."""
     sent = docs.sparkSession.sparkContext.broadcast(codec)  # a vocabulary, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,8 +509,7 @@ def with_ids(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids"
                 off = np.concatenate([[0], ends]).astype(np.int32)
                 columns = [*(c.slice(i, j - i) for c in b.columns[:-1]), pa.ListArray.from_arrays(off, pa.array(found.astype(np.int32)))]
                 if same:
-                    plain = pc.replace_substring(pc.fill_null(part, ""), SPACE, " ")
-                    columns.append(pc.equal(sent.value.decode(found, ends), plain))
+                    columns.append(pc.equal(sent.value.decode(found, ends), pc.fill_null(part, "")))
                 yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], ids, *([same] if same else [])])
 
     return map_last(docs, text, run, f"{ids} array<int>" + (f", {same} boolean" if same else ""))

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +93,15 @@ def test_frames(spark, codec, library):
     back = c.with_texts(c.with_ids(df, codec), codec).collect()
     assert sorted((r.doc_id, r.text) for r in back) == sorted((i, t or "") for i, t, _ in rows)
     assert c.with_ids(df.limit(0), codec).collect() == []
+
+
+def test_long_words(codec, library):
+    """Words of any length take the batched path: cut between pieces, then chunks that agree."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choice(letters) for _ in range(10_000)), "a" * 3000, "the" * 900, "中文没有空格的文本" * 200, "x" * 49, "ab" * 97, "=" * 700, "é" * 400, "unbelievably" * 90]
+    texts += ["".join(rng.choice("eatinors") for _ in range(rng.randint(40, 1200))) for _ in range(30)]
+    ids, ends = codec.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [library.encode(t) for t in texts]
+    back = codec.decode(ids, ends).to_pylist()
+    assert back == texts
