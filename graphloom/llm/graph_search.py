@@ -3,8 +3,9 @@
 Distinct vectors are dealt into shards of bounded size. In each, nodes enter in
 random order and growing batches: a greedy beam search proposes neighbours,
 relaxed distance pruning keeps edges that no kept, closer neighbour makes
-superfluous, and the reverse edges are pruned in turn. Queries go in blocks to every
-shard's graph, and the shards' best are merged.
+superfluous, and the reverse edges are pruned in turn. Each shard's graph stays in one
+task (one for every ``BLOCKS`` blocks of queries), through which the blocks of queries
+stream, one at a time; the shards' best are merged.
 
 The measure is the largest inner product. Graphs are built in the space with
 one more component that makes all norms equal, where nearest and largest
@@ -35,7 +36,7 @@ from graphloom.llm.common import quoted, staged, table
 from graphloom.llm.vectors import identity, usable
 
 K, DEGREE, RELAX, BUILD_BEAM, BEAM, SEED = 20, 32, 1.2, 64, 192, 3
-SHARD_ROWS, QUERY_ROWS, BATCH, STARTS, EXPAND = 16_384, 4_096, 1_024, 4, 4
+SHARD_ROWS, QUERY_ROWS, BLOCKS, BATCH, STARTS, EXPAND = 16_384, 4_096, 16, 1_024, 4, 4
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,29 +152,35 @@ def _index(shard: pd.DataFrame) -> pd.DataFrame:
     shard = shard.sort_values("uid", ignore_index=True)
     v = np.stack(shard["v"].to_numpy()).astype(np.float64)
     graph, starts = build(v)
-    return pd.DataFrame({"dim": shard["dim"].iloc[:1], "uids": [shard["uid"].to_numpy().astype("<i8").tobytes()], "vectors": [v.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "starts": [starts.astype("<i4").tobytes()]})
+    return pd.DataFrame({"dim": shard["dim"].iloc[:1], "shard": shard["shard"].iloc[:1], "uids": [shard["uid"].to_numpy().astype("<i8").tobytes()], "vectors": [v.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "starts": [starts.astype("<i4").tobytes()]})
 
 
 def _packed(block: pd.DataFrame) -> pd.DataFrame:
     block = block.sort_values("uid", ignore_index=True)
-    return pd.DataFrame({"dim": block["dim"].iloc[:1], "qb": block["qb"].iloc[:1], "quids": [block["uid"].to_numpy().astype("<i8").tobytes()], "queries": [np.stack(block["v"].to_numpy()).astype("<f8").tobytes()]})
+    return pd.DataFrame({"dim": block["dim"].iloc[:1], "qb": block["qb"].iloc[:1], "uids": [block["uid"].to_numpy().astype("<i8").tobytes()], "vectors": [np.stack(block["v"].to_numpy()).astype("<f8").tobytes()]})
 
 
 def _searched(k: int, beam: int):  # noqa: ANN202
+    """Rows in order: a shard's index, then the blocks of queries for it, one at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = None
         for b in batches:
-            for r in b.to_pylist():
-                uids, quids = np.frombuffer(r["uids"], "<i8"), np.frombuffer(r["quids"], "<i8")
-                v, q = np.frombuffer(r["vectors"], "<f8").reshape(len(uids), -1), np.frombuffer(r["queries"], "<f8").reshape(len(quids), -1)
-                graph, starts = np.frombuffer(r["graph"], "<i4").reshape(len(uids), -1), np.frombuffer(r["starts"], "<i4")
-                low = v.astype(np.float32)
-                for at in range(0, len(q), BATCH):
-                    part = q[at : at + BATCH]
+            for i in range(b.num_rows):
+                r = {name: b.column(name)[i].as_py() for name in ("qb", "uids", "vectors", "graph", "starts")}
+                uids = np.frombuffer(r["uids"], "<i8")
+                v = np.frombuffer(r["vectors"], "<f8").reshape(len(uids), -1)
+                if r["qb"] < 0:
+                    index = uids, v, v.astype(np.float32), np.frombuffer(r["graph"], "<i4").reshape(len(uids), -1), np.frombuffer(r["starts"], "<i4")
+                    continue
+                own, vectors, low, graph, starts = index
+                for at in range(0, len(v), BATCH):
+                    part = v[at : at + BATCH]
                     ids, _ = beam_search(low, graph, starts, part.astype(np.float32), max(beam, 2 * k))
                     ids = ids[:, : 2 * k]  # more than k + 1, as single precision may order near ties otherwise
                     row, col = np.nonzero(ids >= 0)
                     found = ids[row, col]
-                    yield pa.RecordBatch.from_arrays([pa.array(quids[at + row]), pa.array(uids[found]), pa.array(np.einsum("ij,ij->i", part[row], v[found]))], names=["quid", "uid", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[at + row]), pa.array(own[found]), pa.array(np.einsum("ij,ij->i", part[row], vectors[found]))], names=["quid", "uid", "score"])
 
     return run
 
@@ -190,14 +197,19 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     asked = staged(rows.where(F.pmod("vec_id", F.lit(every)) == 0).join(one.select("h", "g", "uid"), ["h", "g"]).select(F.col("vec_id").alias("query_id"), F.col("uid").alias("quid")), "ann-queries")
     shards = max(1, -(-one.count() // shard_rows))
     index = staged(
-        one.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards))).select("dim", "shard", "uid", "v").groupBy("dim", "shard").applyInPandas(_index, "dim int, uids binary, vectors binary, graph binary, starts binary"),
+        one.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards))).select("dim", "shard", "uid", "v").groupBy("dim", "shard").applyInPandas(_index, "dim int, shard long, uids binary, vectors binary, graph binary, starts binary"),
         "ann-index",
     )
     who = asked.select(F.col("quid").alias("uid")).distinct()
     blocks = max(1, -(-who.count() // QUERY_ROWS))
-    packed = staged(one.join(who, "uid", "left_semi").withColumn("qb", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int")).select("dim", "qb", "uid", "v").groupBy("dim", "qb").applyInPandas(_packed, "dim int, qb int, quids binary, queries binary"), "ann-packed")
-    pairs = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, ["dim", "qb"])
-    found = staged(pairs.repartition(shards * blocks, F.xxhash64("uids"), "qb").mapInArrow(_searched(k, beam), "quid long, uid long, score double"), "ann-found")
+    packed = staged(one.join(who, "uid", "left_semi").withColumn("qb", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int")).select("dim", "qb", "uid", "v").groupBy("dim", "qb").applyInPandas(_packed, "dim int, qb int, uids binary, vectors binary"), "ann-packed")
+    tasks = -(-blocks // BLOCKS)
+    none = F.lit(None).cast("binary")
+    order = ["dim", "shard", "turn", "qb"]
+    held = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("turn"), F.lit(-1).alias("qb"), "uids", "vectors", "graph", "starts")
+    sent = packed.join(index.select("dim", "shard"), "dim").select("dim", "shard", F.pmod("qb", F.lit(tasks)).alias("turn"), "qb", "uids", "vectors", none.alias("graph"), none.alias("starts"))
+    dealt = held.unionByName(sent).repartition(shards * tasks, "dim", "shard", "turn").sortWithinPartitions(*order)
+    found = staged(dealt.mapInArrow(_searched(k, beam), "quid long, uid long, score double"), "ann-found")
     named = found.join(one.select("uid", "vec_ids"), "uid").select("quid", "score", F.explode("vec_ids").alias("vec_id"))
     best = Window.partitionBy("quid").orderBy(F.col("score").desc(), "vec_id")
     top = staged(
