@@ -1,11 +1,13 @@
 """Best-fit packing into bins of several permitted sizes.
 
-Lengths are dealt into shards of a bounded number of pieces; in each, best-fit
-decreasing runs once for every permitted size as the size that a new bin
-opens with (the least that also holds the piece), every bin is then downsized to the
-least permitted size that holds its contents, and the cheapest outcome stays. A bin costs its
-capacity plus ``overhead``. A document beyond the largest size is cut into full
-bins and a rest that is packed like any other piece.
+Lengths are dealt into shards of a bounded number of pieces. In each, a bin is opened
+for the longest piece left: every permitted size that holds it is filled by best fit from
+the pieces left, and the size that costs least for what it then holds is opened. Beside that,
+best-fit decreasing runs once for every permitted size as the one that all bins open with;
+every bin is then downsized to the least permitted size that holds its contents, and the
+cheapest outcome stays. A bin costs its capacity plus ``overhead``. A document beyond the
+largest size is cut into full bins and a rest that is packed like any other piece.
+``packed_sequences`` writes each bin out: its words in order, and where each piece ends.
 
 Defined results
 * the length of a document is its number of white-space separated words, or the
@@ -17,9 +19,11 @@ Defined results
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import documents, quoted, staged
@@ -55,6 +59,52 @@ def _best_fit(sizes: list[int], opens: list[int]) -> tuple[list[int], list[int]]
     return place, filled
 
 
+def _fill(kinds: list[int], left: dict[int, int], room: int) -> list[int]:
+    """Sizes that best fit takes for a bin with ``room``: the largest that fits, again and again; ``kinds``: sizes left, rising."""
+    taken: list[int] = []
+    used: dict[int, int] = {}
+    at = bisect_right(kinds, room) - 1
+    while at >= 0:
+        n = kinds[at]
+        many = min(left[n] - used.get(n, 0), room // n)
+        if many > 0:
+            taken += [n] * many
+            used[n] = used.get(n, 0) + many
+            room -= many * n
+        at = min(at - 1, bisect_right(kinds, room) - 1)
+    return taken
+
+
+def _priced(ordered: list[int], caps: list[int], overhead: int) -> tuple[list[int], list[int]]:
+    """Bin of each piece (falling sizes), contents of each bin; each bin opens with the size of least cost for its contents."""
+    left: dict[int, int] = {}
+    for n in ordered:
+        left[n] = left.get(n, 0) + 1
+    kinds, bins = sorted(left), []
+    while kinds:
+        first = kinds[-1]
+        left[first] -= 1
+        if not left[first]:
+            kinds.pop()
+        best = None
+        for cap in caps[bisect_left(caps, first) :]:
+            more = _fill(kinds, left, cap - first)
+            held = first + sum(more)
+            cost = (caps[bisect_left(caps, held)] + overhead) / held
+            if best is None or cost < best[0]:
+                best = (cost, more)
+        for n in best[1]:
+            left[n] -= 1
+            if not left[n]:
+                kinds.pop(bisect_left(kinds, n))
+        bins.append([first, *best[1]])
+    waiting: dict[int, list[int]] = {}
+    for b, sizes in enumerate(bins):
+        for n in sizes:
+            waiting.setdefault(n, []).append(b)
+    return [waiting[n].pop() for n in ordered], [sum(sizes) for sizes in bins]
+
+
 def pack_sizes(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int]]:
     """Bin of each piece and capacity of each bin; no piece exceeds the largest capacity."""
     caps = np.array(sorted(set(capacities)))
@@ -62,8 +112,8 @@ def pack_sizes(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overh
     ordered = [sizes[i] for i in order]
     fits = caps[np.searchsorted(caps, ordered)] if ordered else np.array([], dtype=int)
     best = None
-    for least in caps:
-        place, filled = _best_fit(ordered, np.maximum(fits, least).tolist())
+    for least in (None, *caps):
+        place, filled = _priced(ordered, caps.tolist(), overhead) if least is None else _best_fit(ordered, np.maximum(fits, least).tolist())
         ends = caps[np.searchsorted(caps, filled)] if filled else caps[:0]
         cost = int(ends.sum()) + overhead * len(filled)
         if best is None or cost < best[0]:
@@ -106,5 +156,22 @@ def best_fit_pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return packed.unionByName(full).union(none)
 
 
+def packed_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Each bin written out: bin_id, capacity, words (of all its pieces in order), ends (of the pieces in it), doc_ids.
+
+    Rows of one doc_id have to hold one text.
+    """
+    words = F.filter(F.split(quoted(text), r"\s+"), lambda w: w != "")
+    said = docs.select(_key(quoted(doc_id)).alias("k"), words.alias("words")).dropDuplicates(["k"])
+    pieces = best_fit_pack(docs, doc_id, text, None, capacities, overhead, shard_rows).where("bin_id is not null").withColumn("k", _key(F.col("doc_id")))
+    cut = pieces.join(said, "k").select("bin_id", "capacity", F.struct("offset", F.slice("words", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("w"), "doc_id").alias("p"))
+    rows = cut.groupBy("bin_id").agg(F.first("capacity").alias("capacity"), F.sort_array(F.collect_list("p")).alias("p"))  # at most a bin's words
+    return rows.select("bin_id", "capacity", F.flatten(F.transform("p", lambda p: p["w"])).alias("words"), F.transform("p", lambda p: p["offset"] + F.size(p["w"])).alias("ends"), F.transform("p", lambda p: p["doc_id"]).alias("doc_ids"))
+
+
+def _key(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(documents(spark, sf_dir))
