@@ -4,8 +4,11 @@ Two fingerprints that differ in at most 4 of 64 bits, cut into 8 bytes on a
 ring, have a byte from which every run of l bytes differs in at most l * 4/8
 bits (the pigeonring principle). Hence from some byte the runs of 1 to 5 bytes
 differ in at most 0, 1, 1, 2, 2 bits: three of these five bytes are equal, in
-one of five patterns, which gives 8 * 5 join keys of 24 bits. A candidate then
-has to keep the budget along the whole chain; its last link is the full check.
+one of five patterns, which gives 8 * 5 join keys of 24 bits. Runs of up to 7
+bytes give four equal bytes in one of 14 patterns, 8 * 14 keys of 32 bits: more
+rows, but 90 times fewer candidates, which pays beyond ``WIDE`` fingerprints.
+Both find the same links. A candidate then has to keep the budget along the
+whole chain; its last link is the full check.
 
 Equal fingerprints are one row from the start. Fingerprints within one bit of
 a common point are linked through it first (at most 65 to a point, no pairs);
@@ -23,6 +26,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,9 @@ from graphloom.llm.common import documents, quoted, staged, unused
 from graphloom.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
+#: Lengths of the chains that the keys are taken from, and the number of fingerprints beyond which the longer one costs less:
+#: 40 n + 40 n^2 / 2^25 rows and candidates against 112 n + 112 n^2 / 2^33.
+SHORT, LONG, WIDE = 5, 7, 60_000_000
 _CHUNK = 1 << 15
 
 
@@ -74,13 +81,22 @@ def _byte(x: Column, k: int, to: int) -> Column:
     return F.shiftleft(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)), 8 * to)
 
 
-def _chains(fps: DataFrame) -> DataFrame:
-    """For each fingerprint a row for each start and pattern of equal bytes: key, turned."""
-    rows = []
+def _patterns(length: int) -> list[tuple[int, ...]]:
+    """The sets of equal bytes, as few as can be, of chains of ``length`` bytes that keep the budget at each of them."""
+    budget = [n * MAX_BITS // 8 for n in range(length + 1)]
+    differing = [d for d in combinations(range(1, length), budget[length]) if all(sum(k < n for k in d) <= budget[n] for n in range(1, length))]
+    return [tuple(k for k in range(length) if k not in d) for d in differing]
+
+
+def _chains(fps: DataFrame, length: int) -> DataFrame:
+    """For each fingerprint a row for each start and pattern of equal bytes: key, x (turned)."""
+    rows, patterns = [], _patterns(length)
     for start in range(8):
         x = _turned(F.col("fp"), start)
-        for p, (second, third) in enumerate(((1, 2), (1, 3), (1, 4), (2, 3), (2, 4))):
-            key = _byte(x, 0, 0).bitwiseOR(_byte(x, second, 1)).bitwiseOR(_byte(x, third, 2)).bitwiseOR(F.lit((start * 5 + p) << 24).cast("long"))
+        for p, equal in enumerate(patterns):
+            key = F.lit((start * len(patterns) + p) << 8 * len(equal)).cast("long")
+            for to, k in enumerate(equal):
+                key = key.bitwiseOR(_byte(x, k, to))
             rows.append(F.struct(key.alias("key"), x.alias("x")))
     return fps.select("g", F.inline(F.array(*rows)))
 
@@ -102,11 +118,14 @@ def _dense(fps: DataFrame) -> DataFrame:
     return components(around.join(fps.select("fp"), "fp", "left_semi").select(F.col("least").alias("u"), F.col("fp").alias("v"))).select(F.col("node").alias("fp"), F.col("component").alias("g"))
 
 
-def groups(fps: DataFrame) -> DataFrame:
-    """``fps`` (doc_id, t, fp) to fp, component_id (smallest doc_id), rep (smallest doc_id and t)."""
+def groups(fps: DataFrame, length: int | None = None) -> DataFrame:
+    """``fps`` (doc_id, t, fp) to fp, component_id (smallest doc_id), rep (smallest doc_id and t).
+
+    ``length`` of the chains: ``SHORT``, ``LONG``, or by the number of fingerprints.
+    """
     one = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "t")).alias("rep")), "simhash-distinct")
     dense = staged(one.select("fp").join(_dense(one), "fp", "left").select("fp", F.coalesce("g", "fp").alias("g")), "simhash-dense")
-    a = _chains(dense)
+    a = _chains(dense, length or (LONG if dense.count() > WIDE else SHORT))
     b = a.select(F.col("g").alias("h"), F.col("key"), F.col("x").alias("y"))
     links = a.join(b, "key").where(F.col("g") < F.col("h")).where(_within(F.col("x").bitwiseXOR(F.col("y")))).select(F.col("g").alias("u"), F.col("h").alias("v"))
     joined = components(links).select(F.col("node").alias("g"), F.col("component").alias("c"))

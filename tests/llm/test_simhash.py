@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -56,11 +57,25 @@ def test_groups_against_all_pairs(spark):
     want = brute(fps)
     rows = [(i, i, int(np.uint64(x).astype(np.int64))) for i, x in enumerate(fps)]
     df = spark.createDataFrame(rows, "doc_id long, t long, fp long")
-    got = {r.fp: r.component_id for r in groups(df).collect()}
-    assert [got[r[2]] for r in rows] == want
+    for length in (None, simhash.LONG):  # keys of either width find the same
+        got = {r.fp: r.component_id for r in groups(df, length).collect()}
+        assert [got[r[2]] for r in rows] == want
 
 
-def test_every_way_to_differ(spark):
+def test_patterns_meet_every_pair():
+    rng = random.Random(1)
+    for length, equal, many in ((simhash.SHORT, 3, 5), (simhash.LONG, 4, 14)):
+        patterns = simhash._patterns(length)
+        assert len(patterns) == many and {len(p) for p in patterns} == {equal}
+        for _ in range(20_000):
+            d = [0] * 8
+            for b in rng.sample(range(64), simhash.MAX_BITS):
+                d[b // 8] += 1
+            assert any(not any(d[(start + k) % 8] for k in p) for start in range(8) for p in patterns)
+
+
+@pytest.mark.parametrize("length", [simhash.SHORT, simhash.LONG])
+def test_every_way_to_differ(spark, length):
     """Any four or fewer bits are found, five are not."""
     rng = random.Random(5)
     rows, base = [], 0
@@ -73,7 +88,7 @@ def test_every_way_to_differ(spark):
             rows += [(base, k, a), (base + 1, k, b)]
             base += 2
     df = spark.createDataFrame([(i, k, int(np.uint64(x).astype(np.int64))) for i, k, x in rows], "doc_id long, t long, fp long")
-    got = {r.fp: r.component_id for r in groups(df).collect()}
+    got = {r.fp: r.component_id for r in groups(df, length).collect()}
     for (i, k, a), (_, _, b) in zip(rows[::2], rows[1::2], strict=True):
         a, b = (got[int(np.uint64(x).astype(np.int64))] for x in (a, b))
         assert (a == b) == (k <= 4), k
