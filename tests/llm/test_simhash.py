@@ -109,3 +109,17 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()}
     assert all(got[i] == 0 for i in range(51)) and all(got[k] == 1000 for k in range(1000, 1200))
     assert simhash.MAX_BITS == 4
+
+
+def test_small_components_take_few_jobs(spark):
+    """The driver keeps the plan and the tasks of each job, so a small edge table is no matter for rounds."""
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(300)] + [(5000, k) for k in range(5001, 5200)] + [(rng.randrange(10_000, 10_400), rng.randrange(10_000, 10_400)) for _ in range(150)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    spark.sparkContext.setJobGroup("few", "few")
+    one = {r.node: r.component for r in components(df).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    assert one == {r.node: r.component for r in components(df, small=0).collect()}  # a large one goes by rounds
+    assert jobs <= 8
+    assert components(df.limit(0)).collect() == []
