@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import PropertyGraph
+from graphloom.operators.components import components
 from graphloom.operators.traverse import bfs_levels
 from graphloom.storage import bucketed, discard, staged
 
 
 #: Edges of a graph that may go to every task whole (24 bytes each), and cells of a task's matrix.
 SMALL_EDGES, CELLS = 2_000_000, 1 << 19
+#: Edges of a connected component that a task may hold, links whose components one task finds, and
+#: sources times edges of a component's part; of a component there are at most PARTS.
+COMPONENT_EDGES, COMPONENT_LINKS, WORK, PARTS = 1 << 22, 1 << 22, 1 << 24, 32
 
 
 def page_rank(vertices: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
@@ -85,18 +89,85 @@ def interaction_weights(knows: DataFrame, replies: DataFrame) -> DataFrame:
     return pairs.join(n, ["low", "high"], "left").select("src", "dst", F.greatest(F.round(40 - F.sqrt(F.coalesce("n", F.lit(0)))), F.lit(1.0)).alias("weight"))
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, small: int = SMALL_EDGES) -> DataFrame:
+def shortest_costs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, small: int = SMALL_EDGES, component: int = COMPONENT_EDGES) -> DataFrame:
     """source, vid, cost of the cheapest path from each source to each vertex (or target) it reaches.
 
     ``edges``: src, dst, weight >= 0; ``sources`` and ``targets``: vid. Take the smaller side
     as sources. A graph of at most ``small`` edges goes to every task, which relaxes its
-    share of the sources as matrices; of a larger one rounds of joins relax what improved before.
+    share of the sources as matrices. Of a larger one every connected component goes to
+    tasks of its own; a component of more than ``component`` edges is relaxed by rounds of joins.
     """
     e = staged(edges.select(F.col("src").alias("vid"), "dst", "weight"), "cost-edges")
     starts = sources.select(F.col("vid").cast("long").alias("vid")).distinct()
     if e.count() <= small:
         return _relaxed_in_tasks(e, starts, targets)
-    return _relaxed_in_rounds(e, starts, targets)
+    return _relaxed_by_component(e, starts, targets, component)
+
+
+def _relaxed_by_component(e: DataFrame, starts: DataFrame, targets: DataFrame | None, component: int) -> DataFrame:
+    """Costs of a larger graph: a source meets the edges and targets of its own component only."""
+    of = staged(components(e.select("vid", "dst"), "vid", "dst", COMPONENT_LINKS), "cost-components").select(F.col("node").alias("vid"), F.col("component").alias("c"))
+    s = staged(starts.join(of, "vid", "left").select("vid", F.coalesce("c", "vid").alias("c")), "cost-starts")  # a source without an edge reaches itself
+    t = (of if targets is None else targets.select(F.col("vid").cast("long").alias("vid")).distinct().join(of, "vid", "left").select("vid", F.coalesce("c", "vid").alias("c")))
+    n = e.join(of, "vid").groupBy("c").agg(F.count("*").alias("edges"))
+    parts = F.ceil(F.col("sources") * F.coalesce("edges", F.lit(0)) / WORK).cast("int")
+    sizes = staged(s.groupBy("c").agg(F.count("*").alias("sources")).join(n, "c", "left").select("c", (F.coalesce("edges", F.lit(0)) > component).alias("large"), F.greatest(F.lit(1), F.least(F.lit(PARTS), parts)).alias("parts")), "cost-sizes")
+    mine = sizes.where("not large").select("c", "parts")
+    none, weight = F.lit(None).cast("long"), F.lit(None).cast("double")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    rows = (
+        e.join(of, "vid").join(mine, "c").select("c", each, F.lit(0).alias("what"), "vid", "dst", F.col("weight").cast("double").alias("weight"))
+        .unionByName(s.join(mine, "c").select("c", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("what"), "vid", none.alias("dst"), weight.alias("weight")))
+        .unionByName(t.join(mine, "c").select("c", each, F.lit(2).alias("what"), "vid", none.alias("dst"), weight.alias("weight")))
+    )
+    if targets is None:  # a source without an edge is no vertex of ``of``
+        rows = rows.unionByName(s.join(mine, "c").join(of.select("vid"), "vid", "left_anti").select("c", each, F.lit(2).alias("what"), "vid", none.alias("dst"), weight.alias("weight")))
+    found = staged(rows.groupBy("c", "part").applyInArrow(_component_costs, "source long, vid long, cost double"), "cost-found")
+    large = staged(sizes.where("large").select("c"), "cost-large")
+    if large.isEmpty():
+        return found
+    rest = e.join(of, "vid").join(large, "c", "left_semi").select("vid", "dst", "weight")
+    return found.unionByName(_relaxed_in_rounds(staged(rest, "cost-rest"), s.join(large, "c", "left_semi").select("vid"), targets))
+
+
+def _component_costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A component's edges (what = 0), some of its sources (1) and all its targets (2) to costs."""
+    held = [[b.column(b.schema.get_field_index(x)).fill_null(0).to_numpy(zero_copy_only=False) for x in ("what", "vid", "dst", "weight")] for b in batches]
+    what, vid, dst, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
+    edge, sources, ends = what == 0, vid[what == 1], vid[what == 2]
+    if not len(sources) or not len(ends):
+        return
+    ids = np.unique(np.concatenate([vid, dst[edge]]))
+    src, dst, weight = np.searchsorted(ids, vid[edge]).astype(np.int32), np.searchsorted(ids, dst[edge]).astype(np.int32), weight[edge]
+    del what, vid, edge
+    order = np.argsort(dst, kind="stable")
+    src, weight = src[order], weight[order]
+    into, first = np.unique(dst[order], return_index=True)
+    for source, at, cost in _relaxed(len(ids), src, weight, into, first, np.searchsorted(ids, sources), np.searchsorted(ids, np.unique(ends))):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[source]), pa.array(ids[at]), pa.array(cost)], names=["source", "vid", "cost"])
+
+
+def _relaxed(many: int, src: np.ndarray, weight: np.ndarray, into: np.ndarray, first: np.ndarray, sources: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """source, vertex, cost for some sources at a time; edges are sorted by end, whose edges begin at ``first``."""
+    chunk = max(1, CELLS // max(1, len(src), many))
+    for at in range(0, len(sources), chunk):
+        place = sources[at : at + chunk]
+        n = len(place)
+        cost = np.full((many, n), np.inf)
+        cost[place, np.arange(n)] = 0
+        over, least, old = np.empty((len(src), n)), np.empty((len(into), n)), np.empty((len(into), n))
+        falls = bool(len(src))
+        while falls:
+            np.take(cost, src, axis=0, out=over, mode="clip")
+            over += weight[:, None]
+            np.minimum.reduceat(over, first, axis=0, out=least)
+            np.take(cost, into, axis=0, out=old, mode="clip")
+            falls = bool((least < old).any())
+            cost[into] = np.minimum(least, old, out=least)
+        found = cost[wanted]
+        row, col = np.nonzero(np.isfinite(found))
+        yield place[col], wanted[row], found[row, col]
 
 
 def _relaxed_in_tasks(e: DataFrame, starts: DataFrame, targets: DataFrame | None) -> DataFrame:
@@ -113,7 +184,6 @@ def _relaxed_in_tasks(e: DataFrame, starts: DataFrame, targets: DataFrame | None
         ends = e.select("vid").unionAll(e.select("dst")).distinct().join(targets.select("vid").distinct(), "vid", "left_semi").toPandas()["vid"]
         wanted = np.isin(ids, ends.to_numpy(np.int64))
     graph = spark.sparkContext.broadcast((ids, src, weight, into, first, wanted))
-    chunk = max(1, CELLS // max(1, len(src), len(ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, src, weight, into, first, wanted = graph.value
@@ -122,25 +192,11 @@ def _relaxed_in_tasks(e: DataFrame, starts: DataFrame, targets: DataFrame | None
             every = b.column(0).to_numpy()
             place = np.minimum(np.searchsorted(ids, every), max(0, len(ids) - 1))
             known = ids[place] == every if len(ids) else np.zeros(len(every), dtype=bool)
-            alone, inside, place = every[~known], every[known], place[known]
+            alone, place = every[~known], place[known]
             # A source without an edge reaches itself.
             yield pa.RecordBatch.from_arrays([pa.array(alone), pa.array(alone), pa.array(np.zeros(len(alone)))], names=["source", "vid", "cost"])
-            for at in range(0, len(inside), chunk):
-                n = len(inside[at : at + chunk])
-                cost = np.full((len(ids), n), np.inf)
-                cost[place[at : at + n], np.arange(n)] = 0
-                over, least, old = np.empty((len(src), n)), np.empty((len(into), n)), np.empty((len(into), n))
-                falls = True
-                while falls:
-                    np.take(cost, src, axis=0, out=over, mode="clip")
-                    over += weight[:, None]
-                    np.minimum.reduceat(over, first, axis=0, out=least)
-                    np.take(cost, into, axis=0, out=old, mode="clip")
-                    falls = bool((least < old).any())
-                    cost[into] = np.minimum(least, old, out=least)
-                found = cost[at_wanted]
-                row, col = np.nonzero(np.isfinite(found))
-                yield pa.RecordBatch.from_arrays([pa.array(inside[at + col]), pa.array(ids[at_wanted[row]]), pa.array(found[row, col])], names=["source", "vid", "cost"])
+            for source, vertex, cost in _relaxed(len(ids), src, weight, into, first, place, at_wanted):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[source]), pa.array(ids[vertex]), pa.array(cost)], names=["source", "vid", "cost"])
 
     # Written, as a sort after it would compute it twice.
     found = staged(starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vid").mapInArrow(run, "source long, vid long, cost double"), "cost-found")

@@ -1,6 +1,7 @@
 """A hand-made graph with known answers, one test for each kind of operator and each documented pitfall."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +231,17 @@ def test_projection(g, tmp_path):
     first = sorted(rows(intelligence.saved_weights(g, path)))
     assert first == sorted(rows(intelligence.saved_weights(g, path))) == sorted(rows(intelligence.weighted_knows(g)))
     assert rows(intelligence.bi19(g, 0, 1, intelligence.saved_weights(g, path))) == rows(intelligence.bi19(g, 0, 1))
+
+
+def test_costs_by_component(spark, monkeypatch):
+    """Sources of a large graph meet the edges of their own component; the rows are those of the other ways."""
+    rng = random.Random(11)
+    edges = [(base + rng.randrange(30), base + rng.randrange(30), float(rng.randint(1, 40))) for base in (0, 100, 200) for _ in range(70)] + [(300, 300, 1.0)]
+    e = spark.createDataFrame(edges, "src long, dst long, weight double")
+    sources, targets = (spark.createDataFrame([(x,) for x in xs], "vid long") for xs in ([0, 1, 2, 105, 106, 210, 300, 999], [3, 0, 107, 108, 211, 999, 1000]))
+    monkeypatch.setattr(algorithms, "WORK", 100)  # several parts of a component
+    for ends in (None, targets):
+        want = sorted(rows(algorithms.shortest_costs(e, sources, ends), "source", "vid", "cost"))
+        assert sorted(rows(algorithms.shortest_costs(e, sources, ends, small=0), "source", "vid", "cost")) == want
+        assert sorted(rows(algorithms.shortest_costs(e, sources, ends, small=0, component=60), "source", "vid", "cost")) == want  # by rounds
+    assert {(0, 0, 0.0), (999, 999, 0.0)} <= set(want)
