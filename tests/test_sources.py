@@ -147,3 +147,15 @@ def test_functions(spark):
     t = spark.createDataFrame([(1262304000123 + 3661000, "a|b|", "type|x|y", "2010-01-01T23:00:00")], "ms long, row string, info string, d string")
     got = t.select(dates.iso_ms(F.col("ms")), scalars.column_of(F.col("row"), 1), scalars.column_of(F.col("row"), 2), scalars.column_of(F.col("row"), 5), scalars.edge_type_of(F.col("info")), scalars.edge_rest_of(F.col("info")), dates.day_of(F.col("d")), dates.epoch_ms(dates.day_of_ms(F.col("ms"))), scalars.bit_length(F.lit(8))).first()
     assert tuple(got) == ("2010-01-01T01:01:01.000+0000", "b", "", None, "type", "x|y", datetime.date(2010, 1, 1), 1262304000000, 4)
+
+
+def test_compressed_csv(spark, tmp_path):
+    """A file may be compressed, alone or as a part; the fixture's files are."""
+    import gzip
+
+    with gzip.open(tmp_path / "tag_0_0.csv.gz", "wt") as f:
+        f.write("id|name|url\n5|five|\n")
+    (tmp_path / "tag_1_0.csv").write_text("id|name|url\n6|six|\n")
+    spark.createDataFrame([("7|seven|",)], "`id|name|url` string").write.options(header=True, sep="\x01", quote="", compression="gzip").csv(str(tmp_path / "tag_2_0.csv"))
+    tags = csv_graph.social_csv(spark, str(tmp_path)).vertices["tag"]
+    assert sorted((r.id, r.name) for r in tags.collect()) == [(5, "five"), (6, "six"), (7, "seven")]
