@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more) stays."""
+    """One document of each group of near duplicates stays: SimHash links, and MinHash keys beyond its cut, of Jaccard similarity 0.8 or more."""
     return near_copy_dedup(docs)
 
 

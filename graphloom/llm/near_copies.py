@@ -1,11 +1,15 @@
 """Near copies by the exact Jaccard similarity of five-word shingles, at 0.8 or more.
 
-Two texts become candidates where they agree on one of 40 keys, each made of
-the least values of five hash functions over the shingles (MinHash). A pair
+Candidates come from SimHash first: fingerprints of the five-word shingles, linked at
+four bits or fewer by pigeonring filtering as in ``simhash``. Each link is checked on the
+whole sets of shingle hashes; what passes is one group from then on. At a similarity of 0.8 two
+fingerprints differ in about 10 bits, beyond any cut that filters. For those pairs texts are
+candidates too where they agree on one of 40 keys, each made of the least values of
+five hash functions over the shingles (MinHash), unless SimHash has joined them. A pair
 at similarity s shares no key with a chance of (1 - s^5)^40: 1.3e-7 at 0.8, less above.
-Every candidate is then checked on its whole sets of shingle hashes.
+Every candidate is checked on its whole sets.
 
-Equal sets are one row from the start. Texts that share a key are first compared
+Equal sets are one row from the start. Texts that share a key and are still apart are first compared
 with one of them, so that a dense group falls together without all its pairs. The
 members of a key that are still apart are then dealt into blocks of bounded size, and
 pairs of blocks are verified as matrices in their tasks; each yields a spanning forest,
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import quoted, staged, unused
 from graphloom.llm.components import components
+from graphloom.llm.simhash import candidates, majority
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction of whole numbers.
@@ -44,14 +49,19 @@ _FUNCTIONS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, ROWS * BANDS),
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; a blank text has the one hash 0."""
+def hashes(text: str | None) -> np.ndarray:
+    """Hashes of the text's shingles, repeats included; a blank text has the one hash 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(1, dtype=np.uint64)
     parts = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
     hashed = xxhash.xxh64_intdigest
-    return np.unique(np.array([hashed(s, SEED) for s in parts], dtype=np.uint64))
+    return np.array([hashed(s, SEED) for s in parts], dtype=np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(hashes(text))
 
 
 def _keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -70,9 +80,11 @@ def _keys(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        some, held, done, size, sig = [], 0, [], [], []
+        some, held, done, size, sig, fp = [], 0, [], [], [], []
         for text in b.column(2).to_pylist():
-            s = shingles(text)
+            every = hashes(text)
+            fp.append(majority(every))
+            s = np.unique(every)
             some.append(s)
             size.append(len(s))
             sig.append(xxhash.xxh3_64_intdigest(s.tobytes(), SEED))
@@ -84,7 +96,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done.append(_keys(some))
         flat = np.concatenate(done).reshape(-1).view(np.int64) if done else np.empty(0, dtype=np.int64)
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * BANDS, pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sig, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), keys], names=["doc_id", "t", "sig", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sig, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), keys], names=["doc_id", "t", "sig", "n", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +195,16 @@ def _in_blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(staged(met, "near-met").join(sets, "sig").select(*order, "sig", "c", "s").repartition(*order).sortWithinPartitions(*order).mapInArrow(_verified, "u long, v long").distinct(), "near-links")
 
 
+def _alike(one: DataFrame) -> DataFrame:
+    """u, v (sig) and their sizes n, m: one text of each two linked fingerprints, and texts of equal fingerprints with one of them."""
+    texts = one.select("sig", "n", F.col("rep.fp").alias("fp"))
+    fps = staged(texts.groupBy("fp").agg(F.min(F.struct("sig", "n")).alias("x")).select("fp", "x.*"), "near-fps")
+    to = lambda fp, sig, n: fps.select(F.col("fp").alias(fp), F.col("sig").alias(sig), F.col("n").alias(n))
+    equal = texts.select("fp", F.col("sig").alias("u"), "n").join(to("fp", "v", "m"), "fp").where("u != v").select("u", "v", "n", "m")
+    near = candidates(fps.select("fp")).toDF("fp", "fq").join(to("fp", "u", "n"), "fp").join(to("fq", "v", "m"), "fq").select("u", "v", "n", "m")
+    return equal.unionByName(near)
+
+
 def _key(c):  # noqa: ANN001, ANN202
     return F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n"))
 
@@ -191,26 +213,33 @@ def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id and t (hash of the text) of the row that stays of each group, and the group's component."""
     kind = docs.select(quoted(doc_id)).schema[0].dataType.simpleString()
     rows = docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("t"), quoted(text).alias("text"))
-    sketched = staged(rows.mapInArrow(_sketches, f"doc_id {kind}, t long, sig long, n int, keys array<long>"), "near-sketches")
-    one = staged(sketched.groupBy("sig").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-distinct")
+    sketched = staged(rows.mapInArrow(_sketches, f"doc_id {kind}, t long, sig long, n int, fp long, keys array<long>"), "near-sketches")
+    one = staged(sketched.groupBy("sig").agg(F.min(F.struct("doc_id", "t", "fp")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-distinct")
+    like = lambda a, b: F.least(a, b) * DEN >= F.greatest(a, b) * NUM
+    alike = staged(_alike(one).where(like(F.col("n"), F.col("m"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-alike")
     every = one.select("sig", "n", F.explode("keys").alias("key"))
     common = staged(every.groupBy("key").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).where("least != most").select("key"), "near-keys")
     shared = staged(every.join(common, "key"), "near-shared")
-    held = one.join(shared.select("sig").distinct(), "sig", "left_semi").select("sig", _key(F.col("rep.doc_id")).alias("k"), F.col("rep.t").alias("t"))
+    wanted = shared.select("sig").unionByName(alike.select(F.col("u").alias("sig"))).unionByName(alike.select(F.col("v").alias("sig")))
+    held = one.join(wanted.distinct(), "sig", "left_semi").select("sig", _key(F.col("rep.doc_id")).alias("k"), F.col("rep.t").alias("t"))
     texts = rows.select(_key(F.col("doc_id")).alias("k"), "t", "text").join(held, ["k", "t"]).dropDuplicates(["sig"])
     sets = staged(texts.select("sig", "text").mapInArrow(_sets, "sig long, s array<long>"), "near-sets")
 
-    like = lambda a, b: F.least(a, b) * DEN >= F.greatest(a, b) * NUM
-    pivot = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig").alias("o"), F.col("sig").alias("p"), F.col("n").alias("m"))).alias("x")).select("key", "x.*")
-    found = shared.join(pivot, "key").where((F.col("sig") != F.col("p")) & like(F.col("n"), F.col("m")))
-    links = _linked(staged(found.select(F.least("sig", "p").alias("u"), F.greatest("sig", "p").alias("v")).distinct(), "near-pairs"), sets)
-    joined = staged(components(links), "near-joined")
-    named = staged(shared.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("c")), "near-named")
-    more = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
-    links = links.unionByName(_in_blocks(staged(named.join(more, "key", "left_semi"), "near-apart"), sets))
+    def named(links: DataFrame) -> DataFrame:
+        joined = staged(components(links), "near-joined")
+        return staged(shared.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("c")), "near-named")
+
+    links = _linked(alike, sets)
+    members = named(links)
+    pivot = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig").alias("o"), F.col("sig").alias("p"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("x")).select("key", "x.*")
+    found = members.join(pivot, "key").where((F.col("c") != F.col("d")) & like(F.col("n"), F.col("m")))
+    links = links.unionByName(_linked(staged(found.select(F.least("sig", "p").alias("u"), F.greatest("sig", "p").alias("v")).distinct(), "near-pairs"), sets))
+    members = named(links)
+    more = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
+    links = links.unionByName(_in_blocks(staged(members.join(more, "key", "left_semi"), "near-apart"), sets))
     joined = components(links)
-    named = one.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").select("rep", F.coalesce("component", "sig").alias("c"))
-    return staged(named.groupBy(F.col("c").alias("component")).agg(F.min("rep").alias("rep")).select("component", "rep.doc_id", "rep.t"), "near-groups")
+    last = one.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").select("rep", F.coalesce("component", "sig").alias("c"))
+    return staged(last.groupBy(F.col("c").alias("component")).agg(F.min("rep").alias("rep")).select("component", "rep.doc_id", "rep.t"), "near-groups")
 
 
 def near_copy_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -59,6 +59,14 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes, repeats included."""
+    count = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        count += np.unpackbits(hashes[at : at + _CHUNK].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
@@ -98,7 +106,7 @@ def _chains(fps: DataFrame, length: int) -> DataFrame:
             for to, k in enumerate(equal):
                 key = key.bitwiseOR(_byte(x, k, to))
             rows.append(F.struct(key.alias("key"), x.alias("x")))
-    return fps.select("g", F.inline(F.array(*rows)))
+    return fps.select("g", "fp", F.inline(F.array(*rows)))
 
 
 def _within(d: Column) -> Column:
@@ -109,13 +117,37 @@ def _within(d: Column) -> Column:
     return ok & (F.bit_count(d) <= MAX_BITS)
 
 
-def _dense(fps: DataFrame) -> DataFrame:
-    """fp, g for fingerprints linked through a point within one bit of each."""
+def _dense_links(fps: DataFrame) -> DataFrame:
+    """u, v: fingerprints within one bit of a common point, each with the least one around it."""
     ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)))
     near = lambda c: F.explode(F.transform(ball, lambda m: c.bitwiseXOR(m)))
     points = fps.select("fp", near(F.col("fp")).alias("p")).groupBy("p").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most")
     around = staged(points.select("least", near(F.col("p")).alias("fp")).where("fp != least"), "simhash-around")
-    return components(around.join(fps.select("fp"), "fp", "left_semi").select(F.col("least").alias("u"), F.col("fp").alias("v"))).select(F.col("node").alias("fp"), F.col("component").alias("g"))
+    return around.join(fps.select("fp"), "fp", "left_semi").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+
+
+def _grouped(one: DataFrame, links: DataFrame) -> DataFrame:
+    """fp, g: the least fingerprint that each one reaches."""
+    found = components(links).select(F.col("node").alias("fp"), F.col("component").alias("g"))
+    return staged(one.select("fp").join(found, "fp", "left").select("fp", F.coalesce("g", "fp").alias("g")), "simhash-dense")
+
+
+def _met(dense: DataFrame, length: int | None) -> DataFrame:
+    """g, fp and h, fq: fingerprints of two groups that differ in few enough bits."""
+    a = _chains(dense, length or (LONG if dense.count() > WIDE else SHORT))
+    b = a.select(F.col("g").alias("h"), F.col("fp").alias("fq"), "key", F.col("x").alias("y"))
+    return a.join(b, "key").where(F.col("g") < F.col("h")).where(_within(F.col("x").bitwiseXOR(F.col("y"))))
+
+
+def candidates(fps: DataFrame, length: int | None = None) -> DataFrame:
+    """u, v: pairs of distinct fingerprints (``fps``: fp) that join all that four bits link; of two dense groups one pair.
+
+    They are links of the pigeonring join, each within the cut, for an operator that checks its pairs itself.
+    """
+    inside = staged(_dense_links(fps), "simhash-inside")
+    met = _met(_grouped(fps, inside), length)
+    between = met.groupBy("g", "h").agg(F.min(F.struct("fp", "fq")).alias("p")).select(F.col("p.fp").alias("u"), F.col("p.fq").alias("v"))
+    return inside.unionByName(between).distinct()
 
 
 def groups(fps: DataFrame, length: int | None = None) -> DataFrame:
@@ -124,10 +156,8 @@ def groups(fps: DataFrame, length: int | None = None) -> DataFrame:
     ``length`` of the chains: ``SHORT``, ``LONG``, or by the number of fingerprints.
     """
     one = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "t")).alias("rep")), "simhash-distinct")
-    dense = staged(one.select("fp").join(_dense(one), "fp", "left").select("fp", F.coalesce("g", "fp").alias("g")), "simhash-dense")
-    a = _chains(dense, length or (LONG if dense.count() > WIDE else SHORT))
-    b = a.select(F.col("g").alias("h"), F.col("key"), F.col("x").alias("y"))
-    links = a.join(b, "key").where(F.col("g") < F.col("h")).where(_within(F.col("x").bitwiseXOR(F.col("y")))).select(F.col("g").alias("u"), F.col("h").alias("v"))
+    dense = _grouped(one, _dense_links(one))
+    links = _met(dense, length).select(F.col("g").alias("u"), F.col("h").alias("v"))
     joined = components(links).select(F.col("node").alias("g"), F.col("component").alias("c"))
     named = staged(one.join(dense, "fp").join(joined, "g", "left").select("fp", "id", "rep", F.coalesce("c", "g").alias("c")), "simhash-named")
     least = staged(named.groupBy("c").agg(F.min("id").alias("component_id"), F.min("rep").alias("first")), "simhash-least")

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 import corpus_pipeline
 from graphloom.llm import near_copies
@@ -95,3 +96,21 @@ def test_odd_input(spark):
     kept = Counter((r.doc_id, r.sig) for r in near_copy_dedup(df).collect())
     assert kept == Counter([(None, 3), (7, 4), (9, 6)])
     assert near_copy_dedup(df.limit(0)).collect() == []
+
+
+def test_simhash_links_first(spark, monkeypatch):
+    """Links of four bits or fewer are checked first, on whole sets; what is farther apart is left to MinHash."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    bits = lambda a, b: bin(near_copies.majority(near_copies.hashes(a)) ^ near_copies.majority(near_copies.hashes(b))).count("1")
+    base = [word() for _ in range(400)]
+    close = next(t for t in (" ".join([*base[:-1], word()]) for _ in range(100)) if 0 < bits(" ".join(base), t) <= 4)
+    far = next(t for t in (" ".join(word() if k in (40, 90, 150, 210, 260, 310) else w for k, w in enumerate(base)) for _ in range(100)) if bits(" ".join(base), t) > 4 and bits(close, t) > 4)
+    texts = [" ".join(base), close, far, " ".join(word() for _ in range(400))]
+    sig = [int(np.uint64(xxhash.xxh3_64_intdigest(near_copies.shingles(t).tobytes(), near_copies.SEED)).astype(np.int64)) for t in texts]
+    asked, check = [], near_copies._linked
+    monkeypatch.setattr(near_copies, "_linked", lambda pairs, sets: asked.append(sorted(map(tuple, pairs.collect()))) or check(pairs, sets))
+    kept = near_copies.near_copy_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3]
+    assert asked[0] == [(min(sig[:2]), max(sig[:2]))]
+    assert asked[1] and all(sig[2] in pair for pair in asked[1])

@@ -123,3 +123,24 @@ def test_small_components_take_few_jobs(spark):
     assert one == {r.node: r.component for r in components(df, small=0).collect()}  # a large one goes by rounds
     assert jobs <= 8
     assert components(df.limit(0)).collect() == []
+
+
+def test_candidates_join_what_four_bits_link(spark):
+    rng = random.Random(9)
+    fps = [0]
+    for _ in range(25):
+        fps.append(rng.getrandbits(64))
+        for _ in range(6):
+            x = rng.choice(fps[-4:])
+            for b in rng.sample(range(64), rng.randint(1, 6)):
+                x ^= 1 << b
+            fps.append(x)
+    fps = sorted(set(fps))
+    signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
+    pairs = simhash.candidates(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    found = {r.node: r.component for r in components(pairs).collect()}
+    assert all(bin((r.u ^ r.v) & (1 << 64) - 1).count("1") <= simhash.MAX_BITS for r in pairs.collect())
+    groups_of = {}
+    for x, c in zip(signed, brute(fps), strict=True):
+        groups_of.setdefault(c, set()).add(found.get(x, x))
+    assert all(len(g) == 1 for g in groups_of.values()) and len(set.union(*groups_of.values())) == len(groups_of)
