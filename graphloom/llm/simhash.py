@@ -136,7 +136,8 @@ def _met(dense: DataFrame, length: int | None) -> DataFrame:
     """g, fp and h, fq: fingerprints of two groups that differ in few enough bits."""
     a = _chains(dense, length or (LONG if dense.count() > WIDE else SHORT))
     b = a.select(F.col("g").alias("h"), F.col("fp").alias("fq"), "key", F.col("x").alias("y"))
-    return a.join(b, "key").where(F.col("g") < F.col("h")).where(_within(F.col("x").bitwiseXOR(F.col("y"))))
+    # Spark sizes the chains as the table before ``inline``, so it would broadcast 40 or 112 times what it allows.
+    return a.join(b.hint("merge"), "key").where(F.col("g") < F.col("h")).where(_within(F.col("x").bitwiseXOR(F.col("y"))))
 
 
 def candidates(fps: DataFrame, length: int | None = None) -> DataFrame:

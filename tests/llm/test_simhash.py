@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import simhash
+from graphloom.llm.common import staged
 from graphloom.llm.components import components
 from graphloom.llm.simhash import fingerprint, groups, simhash_components, simhash_dedup
 
@@ -144,3 +145,13 @@ def test_candidates_join_what_four_bits_link(spark):
     for x, c in zip(signed, brute(fps), strict=True):
         groups_of.setdefault(c, set()).add(found.get(x, x))
     assert all(len(g) == 1 for g in groups_of.values()) and len(set.union(*groups_of.values())) == len(groups_of)
+
+
+def test_keys_are_not_broadcast(spark):
+    """Spark sizes exploded keys as the table before, far below what the driver would have to hold."""
+    rows = [(i * 0x9E3779B97F4A7C15 % (1 << 63), i) for i in range(2000)]
+    dense = staged(spark.createDataFrame(rows, "fp long, g long"), "test-dense")
+    for length in (simhash.SHORT, simhash.LONG):
+        met = simhash._met(dense, length)
+        met.collect()
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
