@@ -188,11 +188,11 @@ def _in_blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
     keys = apart.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("held"), word(1).alias("w1"), word(2).alias("w2"))
     first = staged(keys.groupBy("m", "w1", "w2").agg(F.min(F.struct("key", "held")).alias("x")).select("x.key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("x.held") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "near-first")
     met = (
-        apart.join(first, "key").withColumn("own", F.pmod(F.xxhash64("sig", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        apart.join(first.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("sig", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "sig", "c")
     )
     order = ["key", "bi", "bj"]
-    return staged(staged(met, "near-met").join(sets, "sig").select(*order, "sig", "c", "s").repartition(*order).sortWithinPartitions(*order).mapInArrow(_verified, "u long, v long").distinct(), "near-links")
+    return staged(staged(met, "near-met").join(sets.hint("merge"), "sig").select(*order, "sig", "c", "s").repartition(*order).sortWithinPartitions(*order).mapInArrow(_verified, "u long, v long").distinct(), "near-links")
 
 
 def _alike(one: DataFrame) -> DataFrame:
@@ -217,9 +217,10 @@ def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     one = staged(sketched.groupBy("sig").agg(F.min(F.struct("doc_id", "t", "fp")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-distinct")
     like = lambda a, b: F.least(a, b) * DEN >= F.greatest(a, b) * NUM
     alike = staged(_alike(one).where(like(F.col("n"), F.col("m"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-alike")
+    # Joins on keys are hinted: Spark sizes exploded rows as the table before, and written ones as their coded files.
     every = one.select("sig", "n", F.explode("keys").alias("key"))
     common = staged(every.groupBy("key").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).where("least != most").select("key"), "near-keys")
-    shared = staged(every.join(common, "key"), "near-shared")
+    shared = staged(every.join(common.hint("merge"), "key"), "near-shared")
     wanted = shared.select("sig").unionByName(alike.select(F.col("u").alias("sig"))).unionByName(alike.select(F.col("v").alias("sig")))
     held = one.join(wanted.distinct(), "sig", "left_semi").select("sig", _key(F.col("rep.doc_id")).alias("k"), F.col("rep.t").alias("t"))
     texts = rows.select(_key(F.col("doc_id")).alias("k"), "t", "text").join(held, ["k", "t"]).dropDuplicates(["sig"])
@@ -232,11 +233,11 @@ def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     links = _linked(alike, sets)
     members = named(links)
     pivot = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig").alias("o"), F.col("sig").alias("p"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("x")).select("key", "x.*")
-    found = members.join(pivot, "key").where((F.col("c") != F.col("d")) & like(F.col("n"), F.col("m")))
+    found = members.join(pivot.hint("merge"), "key").where((F.col("c") != F.col("d")) & like(F.col("n"), F.col("m")))
     links = links.unionByName(_linked(staged(found.select(F.least("sig", "p").alias("u"), F.greatest("sig", "p").alias("v")).distinct(), "near-pairs"), sets))
     members = named(links)
     more = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
-    links = links.unionByName(_in_blocks(staged(members.join(more, "key", "left_semi"), "near-apart"), sets))
+    links = links.unionByName(_in_blocks(staged(members.join(more.hint("merge"), "key", "left_semi"), "near-apart"), sets))
     joined = components(links)
     last = one.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").select("rep", F.coalesce("component", "sig").alias("c"))
     return staged(last.groupBy(F.col("c").alias("component")).agg(F.min("rep").alias("rep")).select("component", "rep.doc_id", "rep.t"), "near-groups")

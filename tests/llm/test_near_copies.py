@@ -6,6 +6,7 @@ import xxhash
 
 import corpus_pipeline
 from graphloom.llm import near_copies
+from graphloom.llm.common import staged
 from graphloom.llm.near_copies import near_copy_dedup
 from graphloom.llm.simhash import fingerprint
 
@@ -114,3 +115,20 @@ def test_simhash_links_first(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3]
     assert asked[0] == [(min(sig[:2]), max(sig[:2]))]
     assert asked[1] and all(sig[2] in pair for pair in asked[1])
+
+
+def test_joins_on_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes exploded or coded rows far below what the driver would have to hold."""
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, name)
+
+    monkeypatch.setattr(near_copies, "staged", seen)
+    rng = random.Random(4)
+    base = [rng.choice("abcdefghij") * 3 + str(rng.randrange(50)) for _ in range(120)]
+    texts = [" ".join(w if rng.random() > 0.01 else "odd" for w in base) for _ in range(60)]
+    near_copies.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {"near-shared", "near-apart"} <= set(plans)
+    assert not [x for x in ("near-shared", "near-apart", "near-pairs") if any("Broadcast" in line and "key#" in line for line in plans[x].splitlines())]
