@@ -1,8 +1,11 @@
 """A hand-made graph with known answers, one test for each kind of operator and each documented pitfall."""
 
 import datetime
+import heapq
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +248,48 @@ def test_costs_by_component(spark, monkeypatch):
         assert sorted(rows(algorithms.shortest_costs(e, sources, ends, small=0), "source", "vid", "cost")) == want
         assert sorted(rows(algorithms.shortest_costs(e, sources, ends, small=0, component=60), "source", "vid", "cost")) == want  # by rounds
     assert {(0, 0, 0.0), (999, 999, 0.0)} <= set(want)
+
+
+def _dijkstra(n, edges, start):
+    out, heap, near = {}, [(0, start)], [[] for _ in range(n)]
+    for a, b, w in edges:
+        near[a].append((b, w))
+    while heap:
+        cost, v = heapq.heappop(heap)
+        if v not in out:
+            out[v] = cost
+            for b, w in near[v]:
+                heapq.heappush(heap, (cost + w, b))
+    return out
+
+
+@pytest.mark.parametrize("most, hub", [(1, 0), (4, 0), (64, 0), (3, 150)])
+def test_whole_weights_go_by_cost(monkeypatch, most, hub):
+    """Sets of sources as bits give the costs of Dijkstra's search; a vertex may have very many in-edges."""
+    monkeypatch.setattr(algorithms, "WIDE", 1)  # more than one run of sources
+    rng = np.random.default_rng(most)
+    n = 300
+    src, dst = rng.integers(0, n, 700 + hub), np.concatenate([rng.integers(0, n, 700), np.full(hub, 7)])
+    order = np.argsort(dst, kind="stable")
+    src, dst, weight = src[order], dst[order], rng.integers(1, most + 1, 700 + hub)[order].astype(float)
+    into, first = np.unique(dst, return_index=True)
+    sources, wanted = rng.permutation(n)[:130], np.unique(rng.integers(0, n, 90))
+    rows = [(int(a), int(b), c) for x in algorithms._relaxed(n, src, weight, into, first, sources, wanted) for a, b, c in zip(*x, strict=True)]
+    edges = list(zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True))
+    want = {(s, v): c for s in sources.tolist() for v, c in _dijkstra(n, edges, s).items() if v in set(wanted.tolist())}
+    assert len(rows) == len(want) and {(a, b): c for a, b, c in rows} == want
+
+
+def test_many_sources_read_an_edge_together():
+    """Whole weights cost a fraction of others, whose sources are relaxed each by itself."""
+    rng = np.random.default_rng(3)
+    n, m = 20_000, 80_000
+    src, dst = rng.integers(0, n, m), np.sort(rng.integers(0, n, m))
+    into, first = np.unique(dst, return_index=True)
+    took, rows = [], []
+    for part in (0.0, 0.5):
+        weight = rng.integers(39, 41, m) + part
+        began = time.process_time()
+        rows.append(sum(len(x[0]) for x in algorithms._relaxed(n, src, weight, into, first, np.arange(256), np.arange(100))))
+        took.append(time.process_time() - began)
+    assert rows[0] == rows[1] and 2 * took[0] < took[1]
